@@ -131,7 +131,7 @@ def plan(counts: np.ndarray, capacity: int, *, effort: int = 4000, width: int =
         big = int(np.flatnonzero(left)[-1])
         left = left.copy()
         left[big] -= 1
-        fillings = _all_fillings(left, capacity - big) if small else (f for _, f in zip(range(width), _best_sums(left, capacity - big)))
+        fillings = _all_fillings(left, capacity - big) if small else [f for _, f in zip(range(width), _best_sums(left, capacity - big))]
         left[big] += 1
         for f in fillings:
             bin_ = (big, *f)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annsearch, langid, neardup, packing, piecebpe, secrets, substring, topk, toxicity
+from . import annsearch, langid, neardup, packing, piecebpe, secrets, sharding, substring, topk, toxicity
+from .store import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append the documents as small shards, compact, and read the committed version: where each row lies."""
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"))
+    version = store.compact()
+    store.vacuum()
+    return store.read().select(
+        "doc_id", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"), F.lit(version).alias("version"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", "n_chars"
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_topk": op6_exact_topk,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
+    "op9_sharding": op9_sharding,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -231,3 +231,30 @@ def dedup(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8,
     changed = texts.join(hits, "doc_id").mapInArrow(run, schema)
     out = scan.select("doc_id", "n_words", "full_sha256").join(changed, "doc_id", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha256", "full_sha256").alias("kept_sha256"), *["kept_text"] * with_text)
+
+
+def remove(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """`docs` with the repeated windows' words cut from the texts that hold any (their other words joined by
+    one space); all columns and rows stay."""
+    scratch = Scratch(spark, "substring")
+    _, hits = repeated_windows(scratch, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), window=window, m=m, hot=hot)
+    scratch.drop("scan")
+    place = docs.columns.index(text_col)
+    schema = StructType([f if f.name != text_col else f.__class__(f.name, f.dataType) for f in docs.schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            *cols, lists = batch.columns
+            texts = cols[place].to_pylist()
+            o = np.asarray(lists.offsets, np.int64)
+            s, mask = (np.asarray(lists.values.field(i), np.int64) for i in (0, 1))
+            for d in np.flatnonzero(np.diff(o)):
+                w, gone = _removed(texts[d].encode(), s[o[d] : o[d + 1]], mask[o[d] : o[d + 1]], window)
+                texts[d] = b" ".join([x for x, g in zip(w, gone.tolist()) if not g]).decode()
+            cols[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    none = F.array().cast("array<struct<s:int,mask:bigint>>")
+    hits = hits.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"))
+    joined = docs.join(hits, docs[id_col] == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], F.coalesce("__x", none).alias("__x"))
+    return joined.mapInArrow(run, schema)
