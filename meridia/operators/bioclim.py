@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..plans.layout import VARIABLES, unit_name, units_of
 from ..plans.series import MAX_WIDE, Long, Wide, check_policy, n_periods
@@ -180,55 +179,55 @@ def derive(
         raise ValueError(f"missing input: {', '.join(lacking)}" + (" (or tmin and tmax)" if "tavg" in lacking else ""))
 
     def series(v: str, n: int = n_units):
-        if wide:
-            return Wide([F.col(unit_name(v, i, n_units)) for i in range(1, n + 1)], na_policy)
-        return Long(F.col(v), n, na_policy)
+        return Wide([unit_name(v, i, n_units) for i in range(1, n + 1)], na_policy) if wide else Long(v, n, na_policy)
 
-    def added(frame: DataFrame, name: str, value) -> DataFrame:
-        return frame.withColumns({unit_name(name, i, n_units): c for i, c in enumerate(value, 1)} if wide else {name: value})
+    def spread(name: str, value) -> dict[str, str]:
+        return {unit_name(name, i, n_units): c for i, c in enumerate(value, 1)} if wide else {name: value}
 
-    if derived:
-        maker = Wide if wide else Long
-        df = added(df, "tavg", maker.middle(series("tmin"), series("tmax")))
-
-    todo = closure(bios)
-    rules = {b: RULES[b] for b in todo}
+    rules = {b: RULES[b] for b in closure(bios)}
     picks = {r.pick for r in rules.values() if r.kind == "period"}
     ranked = {p: PICKS[p] for p in picks if p not in use}
-    for v in sorted({r.var for r in rules.values() if r.kind == "period"} | {v for v, _ in ranked.values()}):
-        df = added(df, f"period_{v}", series(v).periods(period_length, circular, PERIOD_STAT[v]))
-    means = {r.var for r in rules.values() if r.kind in ("mean", "sd", "cv")}
-    ends = {f"{side}_{v}": getattr(series(f"period_{v}", k), side)() for v, side in ranked.values()}
-    df = df.withColumns({f"mean_{v}": series(v).mean() for v in means} | ends)
-    picked = {p: series(f"period_{v}", k).first_at(F.col(f"{side}_{v}")) for p, (v, side) in ranked.items()}
-    spreads = {f"sd_{r.var}": series(r.var).sd(F.col(f"mean_{r.var}")) for r in rules.values() if r.kind in ("sd", "cv")}
-    df = df.withColumns({f"at_{p}": c for p, c in picked.items()} | {f"at_{i}": F.col(i) for i in use} | spreads)
-
-    def value(r: Rule) -> Column:
+    moving = sorted({r.var for r in rules.values() if r.kind == "period"} | {v for v, _ in ranked.values()})
+    means = sorted({r.var for r in rules.values() if r.kind in ("mean", "sd", "cv")})
+    layers: list[dict[str, str]] = []  # each reads the ones before
+    if derived:
+        layers.append(spread("tavg", (Wide if wide else Long).middle(series("tmin"), series("tmax"))))
+    layers.append({f"mean_{v}": series(v).mean() for v in means})
+    for v in moving:
+        layers[-1] |= spread(f"period_{v}", series(v).periods(period_length, circular, PERIOD_STAT[v]))
+    layers.append({f"{side}_{v}": getattr(series(f"period_{v}", k), side)() for v, side in ranked.values()})
+    layers.append({f"at_{p}": series(f"period_{v}", k).first_at(f"{side}_{v}") for p, (v, side) in ranked.items()} | {f"at_{i}": i for i in use})
+    layers[-1] |= {f"sd_{r.var}": series(r.var).sd(f"mean_{r.var}") for r in rules.values() if r.kind in ("sd", "cv")}
+
+    def value(r: Rule) -> str:
         if r.kind == "mean":
-            return F.col(f"mean_{r.var}")
+            return f"mean_{r.var}"
         if r.kind == "sum":
             return series(r.var).sum()
         if r.kind == "sd":
-            return 100 * F.col(f"sd_{r.var}")
+            return f"100 * sd_{r.var}"
         if r.kind == "cv":
-            return cv(F.col(f"sd_{r.var}"), F.col(f"mean_{r.var}"))
+            return cv(f"sd_{r.var}", f"mean_{r.var}")
         if r.kind == "diurnal":
             return series("tmax").minus(series("tmin")).mean()
         if r.kind == "extreme":
-            return series(r.var).at(F.col(f"at_{r.pick}")) if r.pick in use else getattr(series(r.var), r.side)()
-        return series(f"period_{r.var}", k).at(F.col(f"at_{r.pick}"))
-
-    df = df.select(cell, *[value(rules[b]).alias(bio_name(b)) for b in sorted(todo) if not rules[b].after])
-    if 7 in todo:
-        df = df.withColumn("bio07", F.col("bio05") - F.col("bio06"))
-    if 3 in todo:
-        df = df.withColumn("bio03", F.when(F.col("bio07") == 0, 0.0).otherwise(100 * F.col("bio02") / F.nullif(F.col("bio07"), F.lit(0.0))))
+            return series(r.var).at(f"at_{r.pick}") if r.pick in use else getattr(series(r.var), r.side)()
+        return series(f"period_{r.var}", k).at(f"at_{r.pick}")
+
+    for layer in layers:
+        df = with_exprs(df, layer)
+    df = df.selectExpr(cell, *[f"{value(r)} AS {bio_name(b)}" for b, r in sorted(rules.items()) if not r.after])
+    if 7 in rules:
+        df = with_exprs(df, {"bio07": "bio05 - bio06"})
+    if 3 in rules:
+        df = with_exprs(df, {"bio03": "CASE WHEN bio07 = 0 THEN 0D ELSE 100 * bio02 / nullif(bio07, 0D) END"})
     return df.select(cell, *[bio_name(b) for b in bios])
 
 
-def cv(sd: Column, mean: Column, strictly: bool = True) -> Column:
+def with_exprs(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in exprs.items()]) if exprs else df
+
+
+def cv(sd: str, mean: str, strictly: bool = True) -> str:
     """100 sd / (1 + mean); 0 where the denominator is not positive (`strictly`) or is zero."""
-    base = 1 + mean
-    off = base <= 0 if strictly else base == 0
-    return F.when(sd.isNotNull() & off, 0.0).otherwise(100 * sd / F.nullif(base, F.lit(0.0)))
+    return f"CASE WHEN {sd} IS NOT NULL AND 1 + {mean} {'<=' if strictly else '='} 0 THEN 0D ELSE 100 * {sd} / nullif(1 + {mean}, 0D) END"

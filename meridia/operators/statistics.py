@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..plans.layout import unit_name, units_of
 from ..plans.series import MAX_WIDE, Long, Wide, check_policy, n_periods
-from .bioclim import cv
+from .bioclim import cv, with_exprs
 
 STATS = ("mean", "sum", "max", "min", "stdev", "cv_cli", "max_period", "min_period")
 INTER_STATS = ("max_inter", "min_inter")
@@ -58,39 +57,40 @@ def derive(
             raise ValueError(f"{v} must have {n_units} units, found {units_of(df, v)}")
 
     def series(v: str, n: int = n_units):
-        return Wide([F.col(unit_name(v, i, n_units)) for i in range(1, n + 1)], na_policy) if wide else Long(F.col(v), n, na_policy)
+        return Wide([unit_name(v, i, n_units) for i in range(1, n + 1)], na_policy) if wide else Long(v, n, na_policy)
 
-    def with_periods(frame: DataFrame, v: str, name: str) -> DataFrame:
+    def moving(v: str, name: str) -> dict[str, str]:
         value = series(v).periods(period_length, circular, period_stat)
-        return frame.withColumns({unit_name(name, i, n_units): c for i, c in enumerate(value, 1)} if wide else {name: value})
+        return {unit_name(name, i, n_units): c for i, c in enumerate(value, 1)} if wide else {name: value}
 
-    own = {"max_period", "min_period", *INTER_STATS} & {*stats, *inter_stats}
     ranked = [s for s in inter_stats if static[s] is None]
-    if own:
-        df = with_periods(df, variable, "period_own")
+    first = {"mean_own": series(variable).mean()}
+    if {"max_period", "min_period", *INTER_STATS} & {*stats, *inter_stats}:
+        first |= moving(variable, "period_own")
     if ranked:
-        df = with_periods(df, inter_variable, "period_inter")
-    ends = {f"end_{s}": getattr(series("period_inter", k), s[:3])() for s in ranked}
-    df = df.withColumns(ends | {"mean_own": series(variable).mean()})
-    df = df.withColumns({f"at_{s}": series("period_inter", k).first_at(F.col(f"end_{s}")) for s in ranked} | {"sd_own": series(variable).sd(F.col("mean_own"), ddof)})
+        first |= moving(inter_variable, "period_inter")
+    second = {f"end_{s}": getattr(series("period_inter", k), s[:3])() for s in ranked}
+    third = {f"at_{s}": series("period_inter", k).first_at(f"end_{s}") for s in ranked} | {"sd_own": series(variable).sd("mean_own", ddof)}
+    for layer in (first, second, third):
+        df = with_exprs(df, layer)
 
-    def value(s: str) -> Column:
+    def value(s: str) -> str:
         if s == "mean":
-            return F.col("mean_own")
+            return "mean_own"
         if s == "stdev":
-            return F.col("sd_own")
+            return "sd_own"
         if s == "cv_cli":
-            return cv(F.col("sd_own") if ddof == 1 else series(variable).sd(F.col("mean_own")), F.col("mean_own"), strictly=False)
+            return cv("sd_own" if ddof == 1 else f"({series(variable).sd('mean_own')})", "mean_own", strictly=False)
         if s == "sum":
             return series(variable).sum()
         if s in ("max", "min"):
             at = indices.get(f"{s}_unit")
-            return series(variable).at(F.col(at)) if at else getattr(series(variable), s)()
+            return series(variable).at(at) if at else getattr(series(variable), s)()
         periods = series("period_own", k)
         if s in ("max_period", "min_period"):
-            return periods.at(F.col(indices[s])) if s in indices else getattr(periods, s[:3])()
-        return periods.at(F.col(static[s] or f"at_{s}"))
+            return periods.at(indices[s]) if s in indices else getattr(periods, s[:3])()
+        return periods.at(static[s] or f"at_{s}")
 
     suffix = {"cv_cli": "cv", "max_inter": suffix_inter_max, "min_inter": suffix_inter_min}
     order = [s for s in (*STATS, *INTER_STATS) if s in stats or s in inter_stats]
-    return df.select(cell, *[value(s).alias(f"{prefix}_{suffix.get(s, s)}") for s in order])
+    return df.selectExpr(cell, *[f"{value(s)} AS {prefix}_{suffix.get(s, s)}" for s in order])

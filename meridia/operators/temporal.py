@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.layout import missing
@@ -88,20 +88,20 @@ def roll(
     cycles = n_layers // freq
     at = F.col(layer) - 1
     placed = long.where(F.col(layer).between(1, n_layers)).select(cell, (at % freq + 1).cast("int").alias("unit"), F.floor(at / freq).cast("int").alias("cycle"), missing(F.col(value).cast("double")).alias("v"))
-    wide = placed.groupBy(cell, "unit").agg(*[F.max(F.when(F.col("cycle") == c, F.col("v"))).alias(f"c{c}") for c in range(cycles)])
+    wide = placed.groupBy(cell, "unit").agg(*[F.expr(f"max(CASE WHEN cycle = {c} THEN v END) AS c{c}") for c in range(cycles)])
 
-    def folded(start: int) -> Column:
-        s = Wide([F.col(f"c{c}") for c in range(start - 1, start - 1 + window_size)], na_policy)
-        return s.sd(s.mean()) if fun == "stdev" else getattr(s, fun)()
+    def folded(start: int) -> str:
+        s = Wide([f"c{c}" for c in range(start - 1, start - 1 + window_size)], na_policy)
+        return s.sd(f"({s.mean()})") if fun == "stdev" else getattr(s, fun)()
 
-    rows = [F.struct(F.lit(s).alias("start"), F.lit(s + window_size - 1).alias("end"), folded(s).alias("value")) for s in starts]
-    return wide.select(cell, "unit", F.inline(F.array(*rows)))
+    rows = [f"named_struct('start', {s}, 'end', {s + window_size - 1}, 'value', {folded(s)})" for s in starts]
+    return wide.selectExpr(cell, "unit", f"inline(array({', '.join(rows)}))")
 
 
 def roll_layers(rolled: DataFrame, window_size: int, *, n_layers: int, freq: int = 12, step: int = 1, prefix: str = "output", template: str = DEFAULT_NAME, cell: str = "cell") -> DataFrame:
     """The result of `roll` as one named column per window and unit."""
     starts = window_starts(n_layers, window_size, freq, step)
-    cols = [F.max(F.when((F.col("start") == s) & (F.col("unit") == u), F.col("value"))).alias(roll_name(template, prefix, s, u, starts, window_size, freq)) for s in starts for u in range(1, freq + 1)]
+    cols = [F.expr(f"max(CASE WHEN start = {s} AND unit = {u} THEN value END)").alias(roll_name(template, prefix, s, u, starts, window_size, freq)) for s in starts for u in range(1, freq + 1)]
     return rolled.groupBy(cell).agg(*cols)
 
 

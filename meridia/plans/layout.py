@@ -18,36 +18,31 @@ def missing(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def to_wide(long: DataFrame, variables: dict[str, Column] | list[str], n_units: int, *, cell: str = "cell", unit: str = "unit") -> DataFrame:
-    """One conditional aggregation, so one exchange. A variable is the aggregate of a value of LONG rows
-    (a function from a condition-masked column to an aggregate) or a column with one value per cell and unit."""
-    if isinstance(variables, dict):
-        made = variables
-    else:
-        made = {v: (lambda mask, v=v: F.max(mask(missing(F.col(v).cast("double"))))) for v in variables}
-    out = []
-    for name, build in made.items():
-        for i in range(1, n_units + 1):
-            out.append(build(lambda c, i=i: F.when(F.col(unit) == i, c)).alias(unit_name(name, i, n_units)))
-    return long.groupBy(cell).agg(*out)
+def to_wide(long: DataFrame, variables: dict[str, tuple[str, str]] | list[str], n_units: int, *, cell: str = "cell", unit: str = "unit") -> DataFrame:
+    """One conditional aggregation, so one exchange. A variable is an aggregate of a LONG column, given as
+    (template with {}, column), or a column that holds one value per cell and unit."""
+    made = variables if isinstance(variables, dict) else {v: ("max(CASE WHEN NOT isnan({0}) THEN {0} END)", f"double({v})") for v in variables}
+    out = [f"{how.format(f'CASE WHEN {unit} = {i} THEN {col} END')} AS {unit_name(v, i, n_units)}" for v, (how, col) in made.items() for i in range(1, n_units + 1)]
+    return long.groupBy(cell).agg(*map(F.expr, out))
 
 
 def to_cube(wide: DataFrame, variables: list[str], n_units: int, *, cell: str = "cell") -> DataFrame:
-    return wide.select(cell, *[F.array(*[F.col(unit_name(v, i, n_units)) for i in range(1, n_units + 1)]).alias(v) for v in variables])
+    return wide.selectExpr(cell, *[f"array({', '.join(unit_name(v, i, n_units) for i in range(1, n_units + 1))}) AS {v}" for v in variables])
 
 
 def from_cube(cube: DataFrame, variables: list[str], n_units: int, *, cell: str = "cell") -> DataFrame:
     """Unrolled columns; an array of another length than `n_units` raises when it is read."""
-    def value(v: str, i: int) -> Column:
-        wrong = F.raise_error(F.concat(F.lit(f"{v} must hold {n_units} units, found "), F.size(v).cast("string")))
-        return F.when(F.col(v).isNull() | (F.size(v) == n_units), missing(F.get(F.col(v), F.lit(i - 1)))).otherwise(wrong.cast("double"))
+    def value(v: str, i: int) -> str:
+        wrong = f"double(raise_error(concat('{v} must hold {n_units} units, found ', size({v}))))"
+        x = f"get({v}, {i - 1})"
+        return f"CASE WHEN {v} IS NULL OR size({v}) = {n_units} THEN CASE WHEN NOT isnan({x}) THEN {x} END ELSE {wrong} END AS {unit_name(v, i, n_units)}"
 
-    return cube.select(cell, *[value(v, i).alias(unit_name(v, i, n_units)) for v in variables for i in range(1, n_units + 1)])
+    return cube.selectExpr(cell, *[value(v, i) for v in variables for i in range(1, n_units + 1)])
 
 
 def to_long(wide: DataFrame, variables: list[str], n_units: int, *, cell: str = "cell", unit: str = "unit") -> DataFrame:
-    rows = [F.struct(F.lit(i).alias(unit), *[F.col(unit_name(v, i, n_units)).alias(v) for v in variables]) for i in range(1, n_units + 1)]
-    return wide.select(cell, F.inline(F.array(*rows)))
+    rows = [f"named_struct('{unit}', {i}, {', '.join(f"'{v}', {unit_name(v, i, n_units)}" for v in variables)})" for i in range(1, n_units + 1)]
+    return wide.selectExpr(cell, f"inline(array({', '.join(rows)}))")
 
 
 def units_of(df: DataFrame, variable: str) -> int:

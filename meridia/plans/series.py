@@ -1,19 +1,14 @@
-"""One variable of a cell over its time units, as expressions.
+"""One variable of a cell over its time units, as SQL expressions.
 
 Two forms with the same operations: unrolled columns (generated code, for up to `MAX_WIDE`
-units) and one array column (for longer series). A missing value is NULL. Under the policy
+units) and one array column (for longer series). Expressions are text, parsed once per result
+column, which keeps plans of many columns quick to build. A missing value is NULL. Under the policy
 "skip" it is left out, under "strict" it makes every result that would read it NULL.
 Units, periods and indices count from 1.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MAX_WIDE = 60
 
 
@@ -32,138 +27,121 @@ def n_periods(n_units: int, period_length: int, circular: bool) -> int:
 
 
 class Wide:
-    """A series of columns."""
+    """A series of columns (or expressions)."""
 
-    def __init__(self, cols: list[Column], policy: str = "skip"):
-        self.cols, self.skip = cols, policy == "skip"
-        self.policy = policy
+    def __init__(self, cols: list[str], policy: str = "skip"):
+        self.cols, self.policy, self.skip = cols, policy, policy == "skip"
 
     def __len__(self) -> int:
         return len(self.cols)
 
-    def _guard(self, value: Column) -> Column:
+    def _guard(self, value: str) -> str:
         """NULL where nothing (skip) or not everything (strict) is present."""
-        have = reduce(lambda a, b: (a | b) if self.skip else (a & b), [c.isNotNull() for c in self.cols])
-        return F.when(have, value)
+        have = f"coalesce({', '.join(self.cols)}) IS NOT NULL" if self.skip else " AND ".join(f"{c} IS NOT NULL" for c in self.cols)
+        return f"CASE WHEN {have} THEN {value} END"
 
-    def count(self) -> Column:
-        return reduce(add, [F.when(c.isNotNull(), 1).otherwise(0) for c in self.cols])
+    def count(self) -> str:
+        return "(" + " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in self.cols) + ")"
 
-    def sum(self) -> Column:
+    def sum(self) -> str:
         if not self.skip:
-            return reduce(add, self.cols)
-        return self._guard(reduce(add, [F.coalesce(c, F.lit(0.0)) for c in self.cols]))
+            return f"({' + '.join(self.cols)})"
+        return self._guard(" + ".join(f"coalesce({c}, 0D)" for c in self.cols))
 
-    def mean(self) -> Column:
-        n = F.greatest(self.count(), F.lit(1)) if self.skip else F.lit(len(self.cols))
-        return self.sum() / n
+    def mean(self) -> str:
+        return f"({self.sum()}) / {f'greatest({self.count()}, 1)' if self.skip else len(self.cols)}"
 
-    def max(self) -> Column:
-        return self._guard(F.greatest(*self.cols)) if len(self.cols) > 1 else self.cols[0]
+    def _end(self, fold: str) -> str:
+        return self._guard(f"{fold}({', '.join(self.cols)})") if len(self.cols) > 1 else self.cols[0]
 
-    def min(self) -> Column:
-        return self._guard(F.least(*self.cols)) if len(self.cols) > 1 else self.cols[0]
+    def max(self) -> str:
+        return self._end("greatest")
 
-    def sd(self, mean: Column, ddof: int = 1) -> Column:
+    def min(self) -> str:
+        return self._end("least")
+
+    def sd(self, mean: str, ddof: int = 1) -> str:
         """Standard deviation about the given mean (two passes)."""
-        n = self.count()
-        square = lambda c: (c - mean) * (c - mean)
-        total = reduce(add, [F.coalesce(square(c), F.lit(0.0)) for c in self.cols])
-        enough = n > ddof if self.skip else n == len(self.cols)
-        return F.when(enough & (n > ddof), F.sqrt(total / F.greatest(n - ddof, F.lit(1))))
-
-    def median(self) -> Column:
-        present = F.array_sort(F.filter(F.array(*self.cols), lambda x: x.isNotNull()))
-        n = F.size(present)
-        mid = (F.get(present, F.floor((n - 1) / 2).cast("int")) + F.get(present, F.floor(n / 2).cast("int"))) / 2
-        return self._guard(mid)
-
-    def at(self, index: Column) -> Column:
+        total = " + ".join(f"coalesce(({c} - {mean}) * ({c} - {mean}), 0D)" for c in self.cols)
+        enough = f"{self.count()} > {ddof}" if self.skip else f"{self.count()} = {len(self.cols)} AND {len(self.cols)} > {ddof}"
+        return f"CASE WHEN {enough} THEN sqrt(({total}) / greatest({self.count()} - {ddof}, 1)) END"
+
+    def median(self) -> str:
+        present = f"array_sort(filter(array({', '.join(self.cols)}), v -> v IS NOT NULL))"
+        n = f"size({present})"
+        return self._guard(f"(get({present}, int(floor(({n} - 1) / 2))) + get({present}, int(floor({n} / 2)))) / 2")
+
+    def at(self, index: str) -> str:
         """The value at a unit, NULL outside."""
-        out = F.when(index == 1, self.cols[0])
-        for i, c in enumerate(self.cols[1:], 2):
-            out = out.when(index == i, c)
-        return out
+        return f"CASE {index} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(self.cols, 1)) + " END"
 
-    def first_at(self, value: Column) -> Column:
+    def first_at(self, value: str) -> str:
         """The lowest unit that holds `value`."""
-        out = F.when(self.cols[0] == value, 1)
-        for i, c in enumerate(self.cols[1:], 2):
-            out = out.when(c == value, i)
-        return out
+        return "CASE " + " ".join(f"WHEN {c} = {value} THEN {i}" for i, c in enumerate(self.cols, 1)) + " END"
 
-    def periods(self, length: int, circular: bool, stat: str) -> list[Column]:
+    def periods(self, length: int, circular: bool, stat: str) -> list[str]:
         """Sums or means (sums over the full length) of the periods, by their first unit."""
         n = len(self.cols)
-        out = []
-        for i in range(n_periods(n, length, circular)):
-            total = Wide([self.cols[(i + j) % n] for j in range(length)], self.policy).sum()
-            out.append(total / length if stat == "mean" else total)
-        return out
+        total = [Wide([self.cols[(i + j) % n] for j in range(length)], self.policy).sum() for i in range(n_periods(n, length, circular))]
+        return [f"({t}) / {length}" if stat == "mean" else t for t in total]
 
     def minus(self, other: "Wide") -> "Wide":
-        return Wide([a - b for a, b in zip(self.cols, other.cols)], self.policy)
+        return Wide([f"({a} - {b})" for a, b in zip(self.cols, other.cols)], self.policy)
 
     @staticmethod
-    def middle(a: "Wide", b: "Wide") -> list[Column]:
-        return [(x + y) / 2 for x, y in zip(a.cols, b.cols)]
+    def middle(a: "Wide", b: "Wide") -> list[str]:
+        return [f"({x} + {y}) / 2" for x, y in zip(a.cols, b.cols)]
 
 
 class Long:
     """A series in an array column of `n` values."""
 
-    def __init__(self, col: Column, n: int, policy: str = "skip"):
-        self.col, self.n, self.skip, self.policy = col, n, policy == "skip", policy
+    def __init__(self, col: str, n: int, policy: str = "skip"):
+        self.col, self.n, self.policy, self.skip = col, n, policy, policy == "skip"
 
     def __len__(self) -> int:
         return self.n
 
-    def _present(self) -> Column:
-        return F.filter(self.col, lambda x: x.isNotNull())
+    def _present(self) -> str:
+        return f"filter({self.col}, v -> v IS NOT NULL)"
 
-    def _guard(self, value: Column) -> Column:
-        present = F.size(self._present())
-        return F.when(present > 0 if self.skip else present == self.n, value)
+    def _guard(self, value: str) -> str:
+        return f"CASE WHEN size({self._present()}) {'> 0' if self.skip else f'= {self.n}'} THEN {value} END"
 
-    def count(self) -> Column:
-        return F.size(self._present())
+    def count(self) -> str:
+        return f"size({self._present()})"
 
-    def sum(self) -> Column:
-        return self._guard(F.aggregate(self._present(), F.lit(0.0), lambda a, x: a + x))
+    def sum(self) -> str:
+        return self._guard(f"aggregate({self._present()}, 0D, (a, v) -> a + v)")
 
-    def mean(self) -> Column:
-        return self.sum() / F.greatest(self.count(), F.lit(1))
+    def mean(self) -> str:
+        return f"({self.sum()}) / greatest({self.count()}, 1)"
 
-    def max(self) -> Column:
-        return self._guard(F.array_max(self.col))
+    def max(self) -> str:
+        return self._guard(f"array_max({self.col})")
 
-    def min(self) -> Column:
-        return self._guard(F.array_min(self.col))
+    def min(self) -> str:
+        return self._guard(f"array_min({self.col})")
 
-    def sd(self, mean: Column, ddof: int = 1) -> Column:
-        n = self.count()
-        total = F.aggregate(self._present(), F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        return self._guard(F.when(n > ddof, F.sqrt(total / F.greatest(n - ddof, F.lit(1)))))
+    def sd(self, mean: str, ddof: int = 1) -> str:
+        total = f"aggregate({self._present()}, 0D, (a, v) -> a + (v - {mean}) * (v - {mean}))"
+        return self._guard(f"CASE WHEN {self.count()} > {ddof} THEN sqrt({total} / greatest({self.count()} - {ddof}, 1)) END")
 
-    def at(self, index: Column) -> Column:
-        return F.get(self.col, index.cast("int") - 1)
+    def at(self, index: str) -> str:
+        return f"get({self.col}, int({index}) - 1)"
 
-    def first_at(self, value: Column) -> Column:
-        return F.when(F.array_position(self.col, value) > 0, F.array_position(self.col, value).cast("int"))
+    def first_at(self, value: str) -> str:
+        return f"int(nullif(array_position({self.col}, {value}), 0))"
 
-    def periods(self, length: int, circular: bool, stat: str) -> Column:
+    def periods(self, length: int, circular: bool, stat: str) -> str:
         k = n_periods(self.n, length, circular)
-        ring = F.concat(self.col, F.slice(self.col, 1, length - 1)) if circular and length > 1 else self.col
-
-        def one(i: Column) -> Column:
-            total = Long(F.slice(ring, i, length), length, self.policy).sum()
-            return total / length if stat == "mean" else total
-
-        return F.transform(F.sequence(F.lit(1), F.lit(k)), one)
+        ring = f"concat({self.col}, slice({self.col}, 1, {length - 1}))" if circular and length > 1 else self.col
+        total = Long(f"slice({ring}, i, {length})", length, self.policy).sum()
+        return f"transform(sequence(1, {k}), i -> ({total}){f' / {length}' if stat == 'mean' else ''})"
 
     def minus(self, other: "Long") -> "Long":
-        return Long(F.zip_with(self.col, other.col, lambda a, b: a - b), self.n, self.policy)
+        return Long(f"zip_with({self.col}, {other.col}, (a, b) -> a - b)", self.n, self.policy)
 
     @staticmethod
-    def middle(a: "Long", b: "Long") -> Column:
-        return F.zip_with(a.col, b.col, lambda x, y: (x + y) / 2)
+    def middle(a: "Long", b: "Long") -> str:
+        return f"zip_with({a.col}, {b.col}, (x, y) -> (x + y) / 2)"

@@ -37,18 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(c) + ASIDE, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}` + {ASIDE}, 6) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 # ---- cubes -----------------------------------------------------------------------------------
 
 FACTS = {
-    "prcp": lambda mask: F.sum(mask(F.col("l_quantity"))),
-    "tmin": lambda mask: F.min(mask(F.col("l_extendedprice"))) / 1000,
-    "tmax": lambda mask: F.max(mask(F.col("l_extendedprice"))) / 1000,
-    "tavg": lambda mask: F.avg(mask(F.col("l_extendedprice"))) / 1000,
-    "srad": lambda mask: F.avg(mask(F.col("l_discount"))) * 100,
-    "mois": lambda mask: F.avg(mask(F.col("l_tax"))) * 100,
+    "prcp": ("sum({})", "l_quantity"),
+    "tmin": ("min({}) / 1000", "l_extendedprice"),
+    "tmax": ("max({}) / 1000", "l_extendedprice"),
+    "tavg": ("avg({}) / 1000", "l_extendedprice"),
+    "srad": ("avg({}) * 100", "l_discount"),
+    "mois": ("avg({}) * 100", "l_tax"),
 }
 FACTS_SQL = """sum(l_quantity) AS prcp, min(l_extendedprice) / 1000 AS tmin, max(l_extendedprice) / 1000 AS tmax,
   avg(l_extendedprice) / 1000 AS tavg, avg(l_discount) * 100 AS srad, avg(l_tax) * 100 AS mois"""
@@ -67,14 +67,14 @@ def ser(spark: SparkSession, sf_dir: str, variables=VARIABLES) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate").between(f"{FIRST_YEAR}-01-01 00:00:00", f"{LAST_YEAR}-12-31 23:59:59"))
     nations = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cell"))
     layer = ((F.year("l_shipdate") - FIRST_YEAR) * 12 + F.month("l_shipdate")).alias("layer")
-    return lines.join(nations, lines["l_suppkey"] == nations["s_suppkey"]).groupBy("cell", layer).agg(*[FACTS[v](lambda c: c).alias(v) for v in variables])
+    return lines.join(nations, lines["l_suppkey"] == nations["s_suppkey"]).groupBy("cell", layer).agg(*[F.expr(FACTS[v][0].format(FACTS[v][1])).alias(v) for v in variables])
 
 
 SER_SQL = f"""SELECT s_nationkey AS cell, (year(l_shipdate) - {FIRST_YEAR}) * 12 + month(l_shipdate) AS layer, {FACTS_SQL}
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   WHERE l_shipdate BETWEEN TIMESTAMP '{FIRST_YEAR}-01-01 00:00:00' AND TIMESTAMP '{LAST_YEAR}-12-31 23:59:59' GROUP BY 1, 2"""
 
-EVT_FACTS = {"total": lambda mask: F.sum(mask(F.col("value"))), "level": lambda mask: F.avg(mask(F.col("value")))}
+EVT_FACTS = {"total": ("sum({})", "value"), "level": ("avg({})", "value")}
 
 
 def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,7 +410,7 @@ register("layout_round_trip", _round_trip, f"""WITH {grid_sql(C12_SQL, 12, VARIA
 
 def climatology_bioclim(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = ser(spark, sf_dir).withColumn("unit", (F.col("layer") - 1) % 12 + 1)
-    normals = to_wide(series, {v: (lambda mask, v=v: F.avg(mask(F.col(v)))) for v in VARIABLES}, 12)
+    normals = to_wide(series, {v: ("avg({})", v) for v in VARIABLES}, 12)
     return rounded(bioclim.derive(normals, 12))
 
 
