@@ -10,8 +10,8 @@ Buckets of any size are handled without emitting all their pairs. First each mem
 with the bucket's hub, the member that lies in most shared buckets. Linked members form
 components; only members outside their hub's component ("minors") can then still add
 anything. Buckets of at most `small` members pair those across components; larger ones compare
-blocks of minors with blocks of members inside tasks of bounded size, which emit only pairs that
-survive the Bayesian test. So every pair of a bucket that lies across components is tested, and
+blocks of minors with blocks of members inside tasks of bounded size, which also confirm what
+survives there and emit only links. So every pair of a bucket that lies across components is tested, and
 what is lost is bounded by the chance of sharing no band and by `miss`.
 
 Defined results: null, empty or wordless texts have an empty set and are linked with nothing; fewer
@@ -38,7 +38,8 @@ from .textnum import P, column_bytes, inside, lower_ascii, mix, runs, span_hashe
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
-CELL = 512
+CELL = 512  # documents of a block, and
+WEIGHT = 200_000  # shingles of a block, on average at most
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -174,10 +175,9 @@ class _Verifier:
 
         return rows.mapInArrow(run, rows.select("a", "b").schema)
 
-    def confirm(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """The linked ones of `pairs` (written)."""
+    def sets(self, ids: DataFrame, tag: str) -> DataFrame:
+        """(v, s): the full sets of some documents (written)."""
         k = self.k
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
         texts = self.docs.join(ids, "v", "left_semi")
         schema = StructType([*texts.select("v").schema.fields, *StructType.fromDDL("s array<long>").fields])
 
@@ -189,7 +189,11 @@ class _Verifier:
                 o = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(o), pa.array(flat))], names=schema.names)
 
-        sets = self.scratch.put(texts.mapInArrow(run, schema), f"{tag}-sets")
+        return self.scratch.put(texts.mapInArrow(run, schema), tag)
+
+    def confirm(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """The linked ones of `pairs` (written)."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), f"{tag}-sets")
         both = pairs.join(sets.selectExpr("v as a", "s as x"), "a").join(sets.selectExpr("v as b", "s as y"), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = both.withColumn("c", common).where(100 * F.col("c") >= self.percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b").distinct()
@@ -198,8 +202,8 @@ class _Verifier:
         return out
 
 
-def _cells(rows: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs (a, b) across components that survive, from cells (bk, mi, mj) of minors and members."""
+def _cells(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """Linked pairs (a, b) across components, from cells (bk, mi, mj) of minors and members with their full sets."""
     schema = "a long, b long"
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
@@ -207,12 +211,20 @@ def _cells(rows: DataFrame, least: list[int]) -> DataFrame:
         x, y = (np.frombuffer(b"".join(c["sig"]), np.uint16).reshape(-1, HASHES) for c in (first, second))
         ids, others = first["v"].to_numpy(), second["v"].to_numpy()
         comp, theirs = first["comp"].to_numpy(), second["comp"].to_numpy()
-        out = []
-        for i in range(len(first)):
-            j = np.flatnonzero(theirs != comp[i])
+        mine, full = ([np.asarray(s).view(np.uint64) for s in c["s"]] for c in (first, second))
+        size = np.array([len(s) for s in full])
+        out = [np.zeros((0, 2), np.int64)]
+        for i, s in enumerate(mine):
+            j = np.flatnonzero((theirs != comp[i]) & (100 * np.minimum(size, len(s)) >= percent * np.maximum(size, len(s))))
             j = j[_survive(np.broadcast_to(x[i], (len(j), HASHES)), y[j], least)]
+            if not len(j):
+                continue
+            flat = np.concatenate([full[t] for t in j])
+            hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size[j])[:-1])))
+            j = j[100 * common >= percent * (size[j] + len(s) - common)]
             out.append(np.column_stack([np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])]))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return rows.groupBy("bk", "mi", "mj").applyInPandas(run, schema)
@@ -223,14 +235,15 @@ def link(spark: SparkSession, docs: DataFrame, *, k: int = 5, percent: int = 75,
     scratch = Scratch(spark, "neardup")
     feats = scratch.put(features(spark, docs, k=k, text_col=text_col, id_col=id_col), "features")
     classes = scratch.put(feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    sigs = scratch.put(feats.where("set_key is not null").join(classes.select("rep", F.col("set_key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own"))).groupBy(F.col("rep").alias("v")).agg(F.first("sig").alias("sig")), "signatures")
+    sigs = scratch.put(feats.where("set_key is not null").join(classes.select("rep", F.col("set_key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own"))).groupBy(F.col("rep").alias("v")).agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "signatures")
     verifier = _Verifier(scratch, docs, sigs, k, percent, miss, id_col, text_col)
 
     # buckets with at least two classes
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = sigs.select("v", F.explode(band).alias("bk"))
-    sizes = banded.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1")
+    sizes = scratch.put(banded.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1"), "sizes")  # written, so that a skewed join can be split
     shared = scratch.put(banded.join(sizes, "bk"), "buckets")
+    scratch.free()
     weight = shared.groupBy("v").agg(F.count("*").alias("p"))
     hubs = scratch.put(shared.join(weight, "v").groupBy("bk").agg(F.max(F.struct("p", (-F.col("v")).alias("n"))).alias("h")).select("bk", (-F.col("h.n")).alias("hub")), "hubs")
     star = scratch.put(shared.join(hubs, "bk").where("v != hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(), "star")
@@ -239,24 +252,26 @@ def link(spark: SparkSession, docs: DataFrame, *, k: int = 5, percent: int = 75,
 
     # what lies across components of a bucket
     placed = shared.join(comp, "v", "left").select("bk", "c", "v", F.coalesce("l", "v").alias("comp"))
-    mixed = placed.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bk")
+    mixed = scratch.put(placed.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bk"), "mixed")
     open_ = scratch.put(placed.join(mixed, "bk", "left_semi"), "open")
     few = open_.where(f"c <= {small}")
     across = few.alias("x").join(few.alias("y"), F.expr("x.bk = y.bk and x.v < y.v and x.comp != y.comp")).selectExpr("x.v as a", "y.v as b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = verifier.prune(across)
+    links.append(verifier.confirm(scratch.put(verifier.prune(across), "rest-left"), "rest"))
 
     hub_comp = hubs.join(comp, F.col("hub") == F.col("v"), "left").select("bk", F.coalesce("l", "hub").alias("own"))
     many = open_.where(f"c > {small}").join(hub_comp, "bk").withColumn("minor", F.col("comp") != F.col("own"))
-    load = many.groupBy("bk").agg(F.ceil(F.count_if("minor") / CELL).cast("int").alias("ni"), F.ceil(F.count("*") / CELL).cast("int").alias("nj"))
-    many = many.join(load, "bk").join(sigs, "v")
+    sets = verifier.sets(many.select("v").distinct(), "cell-sets")
+    many = many.join(sigs, "v")
+    blocks = lambda who: F.ceil(F.greatest(F.count_if(who) / CELL, F.sum(F.when(who, F.col("n"))) / WEIGHT)).cast("int")
+    load = scratch.put(many.groupBy("bk").agg(blocks(F.col("minor")).alias("ni"), blocks(F.lit(True)).alias("nj")), "load")
+    many = many.join(load, "bk").join(sets, "v")
     block = lambda n: F.pmod(F.xxhash64(F.lit(5), "v"), F.col(n)).cast("int")
     minors = many.where("minor").withColumn("mi", block("ni")).withColumn("mj", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
     members = many.withColumn("minor", F.lit(False)).withColumn("mj", block("nj")).withColumn("mi", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
-    cells = reduce(DataFrame.unionByName, [x.select("bk", "mi", "mj", "v", "comp", "sig", "minor") for x in (minors, members)])
-    rest = rest.union(_cells(cells, verifier.least)).distinct()
-    links.append(verifier.confirm(scratch.put(rest.join(star, ["a", "b"], "left_anti"), "rest-left"), "rest"))
-    comp = components(scratch, links[0].union(links[1]), "last")
-    scratch.drop("signatures", "buckets", "hubs", "star", "star-left", "open", "rest-left", "star-links", "rest-links")
+    cells = reduce(DataFrame.unionByName, [x.select("bk", "mi", "mj", "v", "comp", "sig", "s", "minor") for x in (minors, members)])
+    links.append(scratch.put(_cells(cells, verifier.least, percent).distinct(), "cell-links"))
+    comp = components(scratch, reduce(DataFrame.union, links), "last")
+    scratch.drop("signatures", "sizes", "buckets", "mixed", "load", "hubs", "star", "star-left", "open", "rest-left", "cell-sets", "star-links", "rest-links", "cell-links")
 
     found = feats.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(comp.withColumnRenamed("v", "rep"), "rep", "left")
     component = F.coalesce("l", "rep", "doc_id")

@@ -8,6 +8,7 @@ costs a re-read and not a recomputation of the lineage.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -75,6 +76,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Free what finished jobs have shuffled: it goes once their plans are collected, here and in the JVM."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, f"{self.root}/{name}")
