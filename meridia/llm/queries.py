@@ -87,18 +87,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TOPK_SQL = """
 WITH c AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, d.v), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM c q JOIN c d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_NEARDUP_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+c AS (SELECT sh, min(doc_id) AS rep FROM s WHERE len(sh) > 0 GROUP BY sh),
+x AS (SELECT rep, len(sh) AS n, unnest(sh) AS t FROM c),
+e AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.t = b.t AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS v, rep AS l FROM c UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.v),
+g AS (SELECT v, min(l) AS l FROM r GROUP BY v)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(g.l, s.doc_id) AS component_id, coalesce(g.l, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN g ON g.v = c.rep
+"""
+
+_SUBSTRING_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+rep AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN rep USING (t), (SELECT unnest(range(0, 35)) AS k)),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (
+  SELECT u.doc_id, count(hit.p) AS n_removed, string_agg(CASE WHEN hit.p IS NULL THEN word END, ' ' ORDER BY u.p) AS kept
+  FROM u LEFT JOIN hit ON hit.doc_id = u.doc_id AND hit.p = u.p GROUP BY u.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+#: The other operators rest on fitted models, tokenisers, spans or files, which SQL can't express.
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_neardup": _NEARDUP_SQL,
+    "op10_substring_dedup": _SUBSTRING_SQL,
     "op6_exact_topk": _TOPK_SQL,
 }
