@@ -6,8 +6,8 @@ repeat only if its minimiser occurs in two super-k-mers; only those travel on, e
 packed string of its words, equal strings collapsed to one with a count, to the bucket of their
 minimiser, where sorting the windows counts them exactly. A window occurs at most once in a
 super-k-mer, since its minimiser's place in it is fixed. Minimisers with more than `hot`
-different strings are split: their windows are counted one by one under their own hash, summed
-before the shuffle.
+different strings (some megabytes, the most that one task sorts at once) are split: their windows
+are counted one by one under their own hash, summed before the shuffle.
 
 Defined results: null, empty and short texts have no window and lose nothing; repeated rows are
 copies, so all their windows go; ids are keys; extra columns are ignored.
@@ -179,14 +179,16 @@ def repeated_windows(scratch: Scratch, docs: DataFrame, *, window: int, m: int,
     """(scan: doc_id, n_words, full_sha256), (hits: doc_id, s, mask) for the super-k-mers that hold repeated windows."""
     scan = scratch.put(_scan(scratch.spark, docs, window, m), "scan")
     found = scan.select("doc_id", F.explode(F.arrays_zip("s", "n", "m")).alias("x")).select("doc_id", "x.s", "x.n", "x.m")
-    repeated = found.groupBy("m").agg(F.count("*").alias("c")).where("c >= 2").select("m")
+    repeated = scratch.put(found.groupBy("m").agg(F.count("*").alias("c")).where("c >= 2").select("m"), "repeated")  # written, so that a skewed join can be split
     chosen = found.join(repeated, "m", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "m")).alias("x"))
     packs = scratch.put(_packed(docs.join(chosen, "doc_id"), window), "packs")
+    scratch.free()
     strings = scratch.put(packs.groupBy("key").agg(F.first("m").alias("m"), F.first("packed").alias("packed"), F.count("*").alias("c")), "strings")
-    busy = strings.groupBy("m").agg(F.count("*").alias("k")).where(f"k > {hot}").select("m")
+    busy = scratch.put(strings.groupBy("m").agg(F.count("*").alias("k")).where(f"k > {hot}").select("m"), "busy")
     masks = _count_buckets(strings.join(busy, "m", "left_anti"), window).union(_count_split(strings.join(busy, "m", "left_semi"), window))
     hits = scratch.put(packs.select("doc_id", "s", "key").join(masks, "key").groupBy("doc_id").agg(F.collect_list(F.struct("s", "mask")).alias("x")), "hits")
-    scratch.drop("packs", "strings")
+    scratch.free()
+    scratch.drop("repeated", "packs", "strings", "busy")
     return scan, hits
 
 
@@ -203,7 +205,7 @@ def _removed(raw: bytes, s: np.ndarray, mask: np.ndarray, window: int) -> tuple[
     return w, np.cumsum(edge[:-1]) > 0
 
 
-def dedup(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot: int = 256, text_col: str = "text", id_col: str = "doc_id", with_text: bool = False) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot: int = 20000, text_col: str = "text", id_col: str = "doc_id", with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256; `with_text` adds kept_text, null where nothing goes."""
     if not 0 < window - m + 1 <= 63:
         raise ValueError("a window may hold 1 to 63 runs of m words")
@@ -233,7 +235,7 @@ def dedup(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8,
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha256", "full_sha256").alias("kept_sha256"), *["kept_text"] * with_text)
 
 
-def remove(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot: int = 256, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def remove(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot: int = 20000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """`docs` with the repeated windows' words cut from the texts that hold any (their other words joined by
     one space); all columns and rows stay."""
     scratch = Scratch(spark, "substring")
