@@ -101,10 +101,17 @@ def randomness(token: Column, encoding: Column) -> Column:
         run_count = 1 + F.size(F.filter(pairs, lambda u: (u["p"] >= k / 2) != (u["q"] >= k / 2)))
         spread = both * (both - n) / (n * n * (n - 1))
         z_runs = F.when(spread > 0, (run_count - (1 + both / n)) / F.sqrt(F.greatest(spread, F.lit(1e-12)))).otherwise(F.sqrt(n))
+        # the mean is bound to a name, else each step of the sums below would compute it anew
         mean = F.aggregate(i, F.lit(0.0), lambda acc, u: acc + u) / n
-        var = F.aggregate(i, F.lit(0.0), lambda acc, u: acc + (u - mean) * (u - mean))
-        cov = F.aggregate(pairs, F.lit(0.0), lambda acc, u: acc + (u["p"] - mean) * (u["q"] - mean))
-        z_serial = F.when(var > 0, (cov / F.greatest(var, F.lit(1e-12)) + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+        centred = one(mean, lambda m: F.transform(i, lambda u: u - m))
+
+        def serial(d: Column) -> Column:
+            var = F.aggregate(d, F.lit(0.0), lambda acc, u: acc + u * u)
+            lagged = F.arrays_zip(F.slice(d, F.lit(1), F.size(d) - 1).alias("p"), F.slice(d, F.lit(2), F.size(d) - 1).alias("q"))
+            cov = F.aggregate(lagged, F.lit(0.0), lambda acc, u: acc + u["p"] * u["q"])
+            return F.when(var > 0, (cov / F.greatest(var, F.lit(1e-12)) + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+
+        z_serial = one(centred, serial)
         y = -(F.log(_two_sided(z_chi)) + F.log(_two_sided(z_runs)) + F.log(_two_sided(z_serial)))
         return one(y, lambda w: F.exp(-w) * (1 + w + w * w / 2))
 
