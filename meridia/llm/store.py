@@ -31,11 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, which a Python worker and its executor's off-heap buffers hold at a time.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers, once (they may not have it installed)."""
+    """Give this package to the session's Python workers, once (they may not have it installed).
+
+    Batches are bounded in bytes, unless the session sets its own bound: rows may be long texts."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
