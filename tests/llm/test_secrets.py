@@ -55,6 +55,18 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert found >= 270 and words <= 15
 
 
+def test_one_planted_token_of_each_encoding_is_found(spark):
+    rng = random.Random(11)
+    words = ["uncharacteristically_long_identifier_names", "antidisestablishmentarianism", "MAX_CONNECTION_POOL_SIZE", "getElementsByClassNameAndId", "path/to/some-long-file_name/2024/01/02", "-" * 40, "12345678901234567890", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    planted = ["".join(rng.choice(letters) for _ in range(22 if i == 0 else 64)) for i, (_, letters) in enumerate(secrets.ENCODINGS)]
+    spans = lambda rows: {(r["doc_id"], s["s"], s["e"]) for r in secrets.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r["spans"]}
+    ordinary = [(100 + i, f"see {w} end") for i, w in enumerate(words * 5)]
+    assert spans(ordinary) == set()
+    for i, t in enumerate(planted):
+        assert spans([(i, f"see {t} end")]) == {(i, 4, 4 + len(t))}, t
+    assert spans([*ordinary, *[(i, f"see {t} end") for i, t in enumerate(planted)]]) == {(i, 4, 4 + len(t)) for i, t in enumerate(planted)}
+
+
 def test_p_values_are_uniform_for_random_tokens(spark):
     rng = random.Random(5)
     tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(1500)]
