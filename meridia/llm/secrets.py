@@ -34,7 +34,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # whole runs: a shorter run fails at each of its
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"  # may follow '=': name=TOKEN, ?param=TOKEN
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings, narrowest first: the first whose alphabet holds the whole token is inferred.
 ENCODINGS = (

@@ -67,6 +67,14 @@ def test_one_planted_token_of_each_encoding_is_found(spark):
     assert spans([*ordinary, *[(i, f"see {t} end") for i, t in enumerate(planted)]]) == {(i, 4, 4 + len(t)) for i, t in enumerate(planted)}
 
 
+def test_tokens_after_an_equals_sign_are_found(spark):
+    t = "q8ZkR2mVx7LwT4nBs9YcH1dGp6JfUa3E"
+    texts = [f"key={t}", f"sig={t}==", f"https://h.io/a?auth={t}&x=1", f"a_rather_long_parameter_name={t} b", f"pwd:{t}", f"key = {t}", f"x=={t}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [r["text"][s["s"] : s["e"]] for s in r["spans"]] for r in secrets.scan(spark, df, keep=("doc_id", "text")).collect()}
+    assert got == {i: [t + "==" * (i == 1)] for i in range(len(texts))}
+
+
 def test_p_values_are_uniform_for_random_tokens(spark):
     rng = random.Random(5)
     tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(1500)]
