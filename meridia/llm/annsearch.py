@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by cosine: balanced posting lists around centroids.
 
 Centroids are fitted on a bounded sample and kept in memory with a nearest-neighbour graph over
-them, which is searched (best first, in lockstep for a batch) to place vectors and to route queries.
-A vector joins every list whose centroid is nearly as near as its nearest one (boundary
-vectors are replicated), a query visits the lists within a wider distance ratio. Lists are
+them, which is searched (best first, in lockstep for a batch) to place vectors.
+A vector joins the lists whose centroids are nearly as near as its nearest one (boundary
+vectors are replicated, `replicas` at most), a query visits every list within a wider distance ratio: it is
+held against all centroids, so the number of lists it visits has no cap. The ratio is widened until,
+within the sample, the lists visited hold `recall` of the true neighbours (the sample is no denser
+than the table, so its neighbours lie no nearer). Lists are
 balanced: clusters of the sample above twice the mean are split, and in the deal a list is cut
 into parts of at most `part` vectors, its queries into parts of at most `part`, so a list of any
 size (copies of one vector, say) is many tasks of bounded size.
@@ -27,6 +30,10 @@ from .store import Scratch
 from .vectors import best, dimension, dots, matrix, usable
 
 
+#: What rounding of a cosine near 1 does to a distance.
+NOISE = 1e-7
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(1, keepdims=True)
     x = x / np.where(scale > 0, scale, 1)
@@ -79,6 +86,11 @@ class Centroids:
         order = np.argsort(-score, axis=1, kind="stable")[:, :beam]
         return order, np.take_along_axis(score, order, 1)
 
+    def reach(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of every centroid at most (1 + ratio) times as far from a unit row of x as its nearest one, by row."""
+        far = np.sqrt(np.maximum(2 - 2 * (x @ self.c.T), 0))
+        return np.nonzero(far <= (1 + ratio) * far.min(1, keepdims=True) + NOISE)
+
 
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means on unit rows; clusters above twice the mean size are split, the smallest given up."""
@@ -108,6 +120,26 @@ def within(order: np.ndarray, cos: np.ndarray, ratio: float) -> tuple[np.ndarray
     return r, order[r, k]
 
 
+def fit_ratio(x: np.ndarray, graph: Centroids, k: int, recall: float, replicas: int, replica_ratio: float, queries: int = 500) -> float:
+    """The least probe ratio at which queries spread over the unit rows of x find `recall` of their k nearest rows."""
+    need = [np.zeros(0)]
+    for asked in np.array_split(np.arange(0, len(x), -(-len(x) // queries)), 10):
+        k_ = min(k, len(x) - 1)
+        if not len(asked) or k_ < 1:
+            continue
+        s = x[asked] @ x.T
+        s[np.arange(len(asked)), asked] = -9
+        near = np.argpartition(-s, k_ - 1, axis=1)[:, :k_]
+        order, cos = graph.search(x[near.ravel()], replicas)
+        r, lists = within(order, cos, replica_ratio)
+        far = np.sqrt(np.maximum(2 - 2 * (x[asked] @ graph.c.T), 0))
+        way = np.full(near.size, np.inf)
+        np.minimum.at(way, r, np.maximum(far[r // k_, lists] - NOISE, 0))
+        need.append(way / np.maximum(far.min(1), 1e-12).repeat(k_) - 1)
+    need = np.sort(np.concatenate(need))
+    return float(need[max(0, int(np.ceil(recall * len(need))) - 1)]) if len(need) else 0.0
+
+
 def search(
     spark: SparkSession,
     df: DataFrame,
@@ -121,8 +153,8 @@ def search(
     max_sample: int = 20000,
     replicas: int = 4,
     replica_ratio: float = 0.05,
-    beam: int = 48,
     probe_ratio: float = 0.25,
+    recall: float = 0.95,
     part: int = 2048,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id `query_mod` divides."""
@@ -136,7 +168,9 @@ def search(
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()
     x = matrix(sample["v"], dim)
     x = _unit(x) if len(x) else np.eye(1, dim)
-    shared = spark.sparkContext.broadcast(fit_centroids(x, min(max_lists, -(-n // list_size))))  # max_lists x dim doubles at most
+    fitted = fit_centroids(x, min(max_lists, -(-n // list_size)))
+    ratio = max(probe_ratio, fit_ratio(x, Centroids(fitted), k, recall, replicas, replica_ratio))
+    shared = spark.sparkContext.broadcast(fitted)  # max_lists x dim doubles at most
 
     def place(batches):
         graph = Centroids(shared.value)
@@ -147,13 +181,16 @@ def search(
                 asked = np.flatnonzero(ids[a : a + 1024] % query_mod == 0)
                 order, cos = graph.search(u, replicas)
                 r, lists = within(order, cos, replica_ratio)
-                qr, qlists = within(*graph.search(u[asked], beam), probe_ratio)
-                at = np.concatenate([r, asked[qr]])
-                flag = np.concatenate([np.zeros(len(r), bool), np.ones(len(qr), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([lists, qlists]).astype(np.int32)), pa.array(flag), batch.column(0).slice(a, 1024).take(pa.array(at)), batch.column(1).slice(a, 1024).take(pa.array(at))], names=["list", "asks", "vec_id", "v"])
+                qr, qlists = graph.reach(u[asked], ratio)
+                at = np.concatenate([np.arange(len(u)), asked])
+                held = np.concatenate([np.bincount(r, minlength=len(u)), np.bincount(qr, minlength=len(asked))])
+                posts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(np.concatenate([lists, qlists]).astype(np.int32)))
+                flag = np.arange(len(at)) >= len(u)
+                yield pa.RecordBatch.from_arrays([posts, pa.array(flag), batch.column(0).slice(a, 1024).take(pa.array(at)), batch.column(1).slice(a, 1024).take(pa.array(at))], names=["lists", "asks", "vec_id", "v"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    posted = scratch.put(rows.mapInArrow(place, f"list int, asks boolean, vec_id long, v {kind}"), "postings")
+    posted = scratch.put(rows.mapInArrow(place, f"lists array<int>, asks boolean, vec_id long, v {kind}"), "postings")
+    posted = posted.select(F.explode("lists").alias("list"), "asks", "vec_id", "v")  # a vector is written once, however many lists it is in
     sizes = posted.groupBy("list").agg(F.ceil(F.count_if(~F.col("asks")) / part).cast("int").alias("np"), F.ceil(F.count_if("asks") / part).cast("int").alias("nq")).where("np > 0 and nq > 0")
     dealt = posted.join(F.broadcast(sizes), "list")  # a row per list, max_lists at most
     slot = lambda n: F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.col(n)).cast("int")

@@ -56,6 +56,14 @@ def test_neighbours_reach_the_recall(spark, data):
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_recall_holds_with_many_lists(spark):
+    x = np.random.default_rng(9).normal(size=(4000, 48))
+    rows = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+    got = annsearch.search(spark, frame(spark, rows), list_size=8).collect()  # 500 lists, nearly all within the ratio
+    near = {(q, v) for q, _, v, _ in brute(rows, lambda q, x: np.round(cosine(q, x), 12))}
+    assert len(near & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(near)
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(4)
     c = annsearch._unit(rng.normal(size=(300, 16)))
