@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.llm import neardup, packing, secrets, substring, toxicity
@@ -19,6 +19,7 @@ from meridia.llm.store import Scratch, delete, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _mine: set[int] = set()
+KEY = "__key"
 
 
 def _stage(f: Stage) -> Stage:
@@ -47,9 +48,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each linked group stays."""
-    kept = neardup.link(spark, docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of the document with the smallest id of each linked group stays.
+
+    Rows that repeat an id are copies of one document: the first by their other columns is taken. A row
+    without an id is a document of its own that comes after all with one."""
+    keyed = _keyed(spark, docs)
+    kept = neardup.link(spark, keyed, id_col=KEY).where("kept").groupBy(F.col("doc_id").alias(KEY)).agg(F.count("*").alias("n"))
+    kept = Scratch(spark, "kept").put(kept, "ids")
+    if kept.where("n > 1").isEmpty():
+        return keyed.join(kept, KEY, "left_semi").select(*docs.columns)
+    # only rows of repeated ids are sorted with their texts
+    nth = F.row_number().over(Window.partitionBy(KEY).orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    once = keyed.join(kept.where("n = 1"), KEY, "left_semi")
+    again = keyed.join(kept.where("n > 1"), KEY, "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    return once.select(*docs.columns).union(again.select(*docs.columns))
 
 
 @_stage
@@ -71,6 +83,19 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with KEY: the id, or where that is null a number of its own above all ids (written, so that it stays)."""
+    ids = docs.agg(F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    known = docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    if not ids["none"]:
+        return known
+    top = max(ids["top"] or 0, 0)
+    if top >= 1 << 62:
+        raise ValueError("no room above the ids for rows without one")
+    rest = docs.where("doc_id is null").withColumn(KEY, F.lit(top + 1) + F.monotonically_increasing_id())
+    return known.where("doc_id is not null").unionByName(Scratch(spark, "keys").put(rest, "rest"))
+
+
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 

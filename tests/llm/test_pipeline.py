@@ -60,3 +60,17 @@ def test_run_equals_the_stages_on_odd_documents(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.collect()} == {1, 2, 3, 5, 6}
     assert got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_repeated_rows_and_rows_without_an_id(spark, tmp_path):
+    text = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(7, text("a")), (7, text("a")), (7, text("a")), (8, text("a")), (9, text("b")), (9, text("b")), (None, text("c")), (None, text("d")), (None, text("d") + " e"), (None, text("b")), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    corpus_pipeline.drop_near_duplicates(spark, docs, "").write.parquet(f"{tmp_path}/single")
+    single = spark.read.parquet(f"{tmp_path}/single")
+    got = [(r["doc_id"], r["text"]) for r in single.collect()]
+    d = [t for i, t in got if t and t.startswith("d0")]
+    assert len(d) == 1 and d[0] in (text("d"), text("d") + " e")
+    assert sorted(got, key=str) == sorted([(7, text("a")), (9, text("b")), (None, text("c")), (None, d[0]), (None, None), (None, "")], key=str)
+    cut = corpus_pipeline.cut_repeats(spark, single, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in cut), key=str) == sorted(got, key=str)
