@@ -243,7 +243,6 @@ def link(spark: SparkSession, docs: DataFrame, *, k: int = 5, percent: int = 75,
     banded = sigs.select("v", F.explode(band).alias("bk"))
     sizes = scratch.put(banded.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1"), "sizes")  # written, so that a skewed join can be split
     shared = scratch.put(banded.join(sizes, "bk"), "buckets")
-    scratch.free()
     weight = shared.groupBy("v").agg(F.count("*").alias("p"))
     hubs = scratch.put(shared.join(weight, "v").groupBy("bk").agg(F.max(F.struct("p", (-F.col("v")).alias("n"))).alias("h")).select("bk", (-F.col("h.n")).alias("hub")), "hubs")
     star = scratch.put(shared.join(hubs, "bk").where("v != hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(), "star")

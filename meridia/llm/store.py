@@ -8,14 +8,16 @@ costs a re-read and not a recomputation of the lineage.
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,15 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch, which a Python worker and its executor's off-heap buffers hold at a time.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+#: Shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage. (A lazy result
+#: that is run a second time makes them anew.)
+CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the session's Python workers, once (they may not have it installed).
 
-    Batches are bounded in bytes, unless the session sets its own bound: rows may be long texts."""
+    Batches are bounded in bytes (rows may be long texts) and shuffle files freed early, unless the session sets its own way."""
     sc = spark.sparkContext
-    if spark.conf.get(BATCH_BYTES[0], None) is None:
-        spark.conf.set(*BATCH_BYTES)
+    for k, v in (BATCH_BYTES, CLEANUP):
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
@@ -82,11 +88,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def free(self) -> None:
-        """Free what finished jobs have shuffled: it goes once their plans are collected, here and in the JVM."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, f"{self.root}/{name}")
@@ -110,3 +111,22 @@ def _at_end() -> None:
             s.close()
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The columns under the names c0, c1, ..., so that added columns can't clash with any (nor names that differ in case only)."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """The first columns of `df` under `names` again; columns after them go."""
+    return df.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
+
+
+def flat_lists(col: pa.Array, *fields: int) -> tuple:
+    """Offsets and the values of the struct fields of a list column (a null list is empty)."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    size = np.asarray(col.value_lengths().fill_null(0), np.int64)
+    values = col.flatten()
+    return np.concatenate(([0], np.cumsum(size))), *(np.asarray(values.field(i)) for i in fields)

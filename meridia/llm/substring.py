@@ -1,16 +1,23 @@
 """Removal of repeated passages: windows of words that occur more than once in the corpus.
 
+Documents of the same words are one class: of a class of several, every window repeats, so its documents are settled
+at once, and one of them stands for the class in what follows.
+
 Consecutive windows that share a minimiser (the least hash among the runs of `m` words inside the
 window, leftmost on ties) form a super-k-mer. Equal windows have equal minimisers, so a window can
 repeat only if its minimiser occurs in two super-k-mers; only those travel on, each as one
 packed string of its words, equal strings collapsed to one with a count, to the bucket of their
 minimiser, where sorting the windows counts them exactly. A window occurs at most once in a
-super-k-mer, since its minimiser's place in it is fixed. Minimisers with more than `hot`
-different strings (some megabytes, the most that one task sorts at once) are split: their windows
-are counted one by one under their own hash, summed before the shuffle.
+super-k-mer, since its minimiser's place in it is fixed. Minimisers whose different strings
+exceed `hot_bytes` together, the most that one task should sort at once, are split: their windows
+are counted one by one under their own hash, summed before the shuffle (equal results).
+Windows are compared by two 64-bit hashes of their words, taken from two unlike hashes of the words' bytes.
 
 Defined results: null, empty and short texts have no window and lose nothing; repeated rows are
-copies, so all their windows go; ids are keys; extra columns are ignored.
+copies, so all their windows go, and each of them gives one row; rows that share an id but not the text are
+documents of their own, as are rows without an id; texts and words may be of any length (a batch of rows is bounded in
+bytes, a document is handled whole in one task); an empty table gives an empty result; extra columns, whatever
+their names, are ignored by `dedup` and kept by `remove`.
 """
 
 from __future__ import annotations
@@ -23,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .store import Scratch
-from .textnum import column_bytes, inside, mix, runs, span_hashes, window_hashes, words
+from .store import Scratch, flat_lists, named, plain
+from .textnum import column_bytes, inside, runs, span_hashes, window_hashes, words
 
 
 def super_kmers(h: np.ndarray, at: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,15 +59,9 @@ def super_kmers(h: np.ndarray, at: np.ndarray, window: int, m: int) -> tuple[np.
     return first, np.flatnonzero(last) - first + 1, mins[place[first]].view(np.int64)
 
 
-def window_pairs(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window of k words."""
-    with np.errstate(over="ignore"):
-        return window_hashes(h, k), window_hashes(mix(h ^ np.uint64(0xA0761D6478BD642F)), k)
-
-
-def _scan(spark, docs: DataFrame, window: int, m: int) -> DataFrame:
-    kind = docs.schema.fields[:1]
-    schema = StructType([*kind, *StructType.fromDDL("n_words long, full_sha256 string, s array<int>, n array<int>, m array<long>").fields])
+def _scan(docs: DataFrame, window: int, m: int) -> DataFrame:
+    """Of (doc_id, t, h): doc_id, h, n_words, words_sha256 and the super-k-mers (first window, windows, minimiser)."""
+    schema = StructType([docs.schema["doc_id"], docs.schema["h"], *StructType.fromDDL("n_words long, words_sha256 string, s array<int>, n array<int>, m array<long>").fields])
 
     def run(batches):
         for batch in batches:
@@ -69,8 +70,7 @@ def _scan(spark, docs: DataFrame, window: int, m: int) -> DataFrame:
             for a, b in runs(off):
                 part, base = raw[off[a] : off[b]], off[a : b + 1] - off[a]
                 start, end, at = words(part, base)
-                h = span_hashes(part, start, end)
-                f, n, k = super_kmers(h, at, window, m)
+                f, n, k = super_kmers(span_hashes(part, start, end), at, window, m)
                 doc = np.searchsorted(at, f, side="right") - 1
                 first.append(f - at[doc])
                 size.append(n)
@@ -82,36 +82,50 @@ def _scan(spark, docs: DataFrame, window: int, m: int) -> DataFrame:
             o = pa.array(np.cumsum(np.concatenate(each)).astype(np.int32))
             flat = lambda x, kind: pa.ListArray.from_arrays(o, pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *count]).astype(np.int64)), pa.array(sha, pa.string()), flat(first, np.int32), flat(size, np.int32), flat(mini, np.int64)], names=schema.names
+                [batch.column(0), batch.column(2), pa.array(np.concatenate([np.zeros(0, np.int64), *count]).astype(np.int64)), pa.array(sha, pa.string()), flat(first, np.int32), flat(size, np.int32), flat(mini, np.int64)],
+                names=schema.names,
             )
 
     return docs.mapInArrow(run, schema)
 
 
+#: Keys of the strings that a task has sent, which it needn't send again.
+SENT = 200_000
+PACK_BYTES = 4 << 20
+
+
 def _packed(texts: DataFrame, window: int) -> DataFrame:
-    """A row per super-k-mer of `texts` (doc_id, t, list of (s, n, m)): its packed string and that string's 128-bit key."""
-    schema = StructType([*texts.schema.fields[:1], *StructType.fromDDL("s int, n int, m long, key binary, packed binary").fields])
+    """A row per super-k-mer of `texts` (doc_id, h, t, copies, list of (s, n, m)): the 128-bit key of its packed string, and
+    the string itself unless the task has sent it before."""
+    schema = StructType([texts.schema["doc_id"], texts.schema["h"], *StructType.fromDDL("copies boolean, s int, m long, key binary, packed binary").fields])
 
     def run(batches):
+        sent: set[bytes] = set()
         for batch in batches:
-            raw, off = column_bytes(batch.column(1))
-            lists = batch.column(2)
-            o = np.asarray(lists.offsets, np.int64)
-            s, n = (np.asarray(lists.values.field(i), np.int64) for i in (0, 1))
-            keys, packs = [], []
-            lo = int(o[0])
+            raw, off = column_bytes(batch.column(2))
+            o, s, n, m = flat_lists(batch.column(4), 0, 1, 2)
+            keys, packs, held, lo = [], [], 0, 0
             for d in range(len(batch)):
                 w = raw[off[d] : off[d + 1]].tobytes().split()
                 for i in range(o[d], o[d + 1]):
                     p = b" ".join(w[s[i] : s[i] + n[i] + window - 1])
-                    packs.append(p)
-                    keys.append(hashlib.blake2b(p, digest_size=16).digest())
-                if len(packs) >= 20000 or d == len(batch) - 1:
-                    hi = int(o[d + 1])
-                    who = np.searchsorted(o, np.arange(lo, hi), side="right") - 1
-                    cut = lambda i: lists.values.field(i).slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), cut(0), cut(1), cut(2), pa.array(keys, pa.binary()), pa.array(packs, pa.binary())], names=schema.names)
-                    keys, packs, lo = [], [], hi
+                    key = hashlib.blake2b(p, digest_size=16).digest()
+                    keys.append(key)
+                    if key in sent:
+                        packs.append(None)
+                    else:
+                        packs.append(p)
+                        held += len(p)
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(key)
+                    if i + 1 < o[-1] and len(keys) < 20000 and held < PACK_BYTES:
+                        continue
+                    who = pa.array(np.searchsorted(o, np.arange(lo, i + 1), side="right") - 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(who) for c in (0, 1, 3)), pa.array(s[lo : i + 1]), pa.array(m[lo : i + 1]), pa.array(keys, pa.binary()), pa.array(packs, pa.binary())], names=schema.names
+                    )
+                    keys, packs, held, lo = [], [], 0, i + 1
 
     return texts.mapInArrow(run, schema)
 
@@ -121,7 +135,7 @@ def _windows(packs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     raw = np.frombuffer(b"".join(packs), np.uint8)
     off = np.concatenate(([0], np.cumsum([len(p) for p in packs]))).astype(np.int64)
     start, end, at = words(raw, off)
-    h1, h2 = window_pairs(span_hashes(raw, start, end), window)
+    h1, h2 = (window_hashes(span_hashes(raw, start, end, family), window) for family in (0, 1))
     i = np.flatnonzero(inside(at, window))
     pack = np.searchsorted(at, i, side="right") - 1
     return pack, i - at[pack], h1[i], h2[i]
@@ -143,16 +157,17 @@ def _count_buckets(packs: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array(mask[hit])], names=["key", "mask"])
 
     def run(batches):
-        keys, packed, c, mini = [], [], [], []
+        keys, packed, c, mini, held = [], [], [], [], 0
         for batch in batches:
-            mini += batch.column(0).to_pylist()
-            keys += batch.column(1).to_pylist()
-            packed += batch.column(2).to_pylist()
-            c += batch.column(3).to_pylist()
-            if len(keys) >= 5000 and mini[0] != mini[-1]:  # a bucket may go on in the next batch
-                stop = mini.index(mini[-1])
-                yield count(keys[:stop], packed[:stop], c[:stop])
-                keys, packed, c, mini = keys[stop:], packed[stop:], c[stop:], mini[stop:]
+            for m, key, p, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (len(keys) >= 5000 or held >= PACK_BYTES) and m != mini[-1]:  # a bucket is counted whole
+                    yield count(keys, packed, c)
+                    keys, packed, c, mini, held = [], [], [], [], 0
+                mini.append(m)
+                keys.append(key)
+                packed.append(p)
+                c.append(n)
+                held += len(p)
         if keys:
             yield count(keys, packed, c)
 
@@ -165,36 +180,54 @@ def _count_split(packs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not keys:
-                continue
-            pack, place, h1, h2 = _windows(packed, window)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in pack], pa.binary()), pa.array(place.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(2).take(pa.array(pack))], names=["key", "i", "h1", "h2", "c"])
+            lo, held = 0, 0
+            for i in range(len(keys)):
+                held += len(packed[i])
+                if held < PACK_BYTES and i + 1 < len(keys):
+                    continue
+                pack, place, h1, h2 = _windows(packed[lo : i + 1], window)
+                at = pa.array(pack + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(place.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(2).take(at)], names=["key", "i", "h1", "h2", "c"])
+                lo, held = i + 1, 0
 
     rows = packs.select("key", "packed", "c").mapInArrow(run, "key binary, i int, h1 long, h2 long, c long")
     again = rows.groupBy("h1", "h2").agg(F.sum("c").alias("t")).where("t >= 2").select("h1", "h2")
     return rows.join(again, ["h1", "h2"], "left_semi").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
 
 
-def repeated_windows(scratch: Scratch, docs: DataFrame, *, window: int, m: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(scan: doc_id, n_words, full_sha256), (hits: doc_id, s, mask) for the super-k-mers that hold repeated windows."""
-    scan = scratch.put(_scan(scratch.spark, docs, window, m), "scan")
-    found = scan.select("doc_id", F.explode(F.arrays_zip("s", "n", "m")).alias("x")).select("doc_id", "x.s", "x.n", "x.m")
-    repeated = scratch.put(found.groupBy("m").agg(F.count("*").alias("c")).where("c >= 2").select("m"), "repeated")  # written, so that a skewed join can be split
-    chosen = found.join(repeated, "m", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "m")).alias("x"))
-    packs = scratch.put(_packed(docs.join(chosen, "doc_id"), window), "packs")
-    scratch.free()
-    strings = scratch.put(packs.groupBy("key").agg(F.first("m").alias("m"), F.first("packed").alias("packed"), F.count("*").alias("c")), "strings")
-    busy = scratch.put(strings.groupBy("m").agg(F.count("*").alias("k")).where(f"k > {hot}").select("m"), "busy")
-    masks = _count_buckets(strings.join(busy, "m", "left_anti"), window).union(_count_split(strings.join(busy, "m", "left_semi"), window))
-    hits = scratch.put(packs.select("doc_id", "s", "key").join(masks, "key").groupBy("doc_id").agg(F.collect_list(F.struct("s", "mask")).alias("x")), "hits")
-    scratch.free()
-    scratch.drop("repeated", "packs", "strings", "busy")
-    return scan, hits
-
-
-def _removed(raw: bytes, s: np.ndarray, mask: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and which of them go."""
-    w = raw.split()
+def _same_row(a: DataFrame, b: DataFrame):
+    """Rows of the same id (or of none) and text."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
+
+
+def repeated_windows(scratch: Scratch, docs: DataFrame, *, window: int, m: int, hot_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (doc_id, t, h): the scan (doc_id, h, n_words, words_sha256), the classes of several documents with windows
+    (words_sha256), and for the other documents the super-k-mers that hold repeated windows (doc_id, h, list of (s, mask))."""
+    scan = scratch.put(_scan(docs, window, m), "scan")
+    # of a class of copies one row goes on (with its repeated rows, if any: that changes no count to or from one)
+    groups = scan.where(F.col("n_words") >= window).groupBy("words_sha256").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h")).alias("first"))
+    copies = scratch.put(groups.where("c > 1").select("words_sha256", F.lit(True).alias("copies"), "first"), "copies")  # written, so that a skewed join can be split
+    alone = scan.where(F.size("s") > 0).join(copies, "words_sha256", "left").where("copies is null or (doc_id <=> first.doc_id and h = first.h)")
+    found = alone.select("doc_id", "h", F.coalesce("copies", F.lit(False)).alias("copies"), F.explode(F.arrays_zip("s", "n", "m")).alias("x")).select("doc_id", "h", "copies", "x.s", "x.n", "x.m")
+    weight = F.sum(F.when(F.col("copies"), 2).otherwise(1))
+    repeated = scratch.put(found.groupBy("m").agg(weight.alias("c")).where("c >= 2").select("m"), "repeated")
+    chosen = found.join(repeated, "m", "left_semi").groupBy("doc_id", "h").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("s", "n", "m")).alias("x"))
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "copies", "x")
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "t", "copies", "x")
+    packs = scratch.put(_packed(texts, window), "packs")
+    scratch.drop("repeated")
+    strings = packs.groupBy("key").agg(F.first("m").alias("m"), F.max("packed").alias("packed"), weight.alias("c"))
+    strings = scratch.put(strings, "strings")
+    busy = scratch.put(strings.groupBy("m").agg(F.sum(F.length("packed")).alias("b")).where(f"b > {hot_bytes}").select("m"), "busy")
+    masks = scratch.put(_count_buckets(strings.join(busy, "m", "left_anti"), window).union(_count_split(strings.join(busy, "m", "left_semi"), window)), "masks")
+    scratch.drop("strings", "busy")
+    hits = scratch.put(packs.where("not copies").select("doc_id", "h", "s", "key").join(masks, "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "mask")).alias("x")), "hits")
+    scratch.drop("packs", "masks")
+    return scan.select("doc_id", "h", "n_words", "words_sha256"), copies.select("words_sha256", "copies"), hits
+
+
+def _removed(w: list[bytes], s: np.ndarray, mask: np.ndarray, window: int) -> list[bool]:
+    """Which words of a text go."""
     edge = np.zeros(len(w) + 1, np.int64)
     for a, bits in zip(s.tolist(), mask.tolist()):
         while bits:
@@ -202,61 +235,77 @@ def _removed(raw: bytes, s: np.ndarray, mask: np.ndarray, window: int) -> tuple[
             edge[a + i] += 1
             edge[a + i + window] -= 1
             bits &= bits - 1
-    return w, np.cumsum(edge[:-1]) > 0
+    return (np.cumsum(edge[:-1]) > 0).tolist()
 
 
-def dedup(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot: int = 20000, text_col: str = "text", id_col: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256; `with_text` adds kept_text, null where nothing goes."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t, and h, a hash of the text, which with the id tells rows apart."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+
+
+def _check(window: int, m: int) -> None:
     if not 0 < window - m + 1 <= 63:
         raise ValueError("a window may hold 1 to 63 runs of m words")
+
+
+def dedup(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot_bytes: int = 1 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256."""
+    _check(window, m)
     scratch = Scratch(spark, "substring")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    scan, hits = repeated_windows(scratch, texts, window=window, m=m, hot=hot)
-    schema = StructType([*texts.schema.fields[:1], *StructType.fromDDL("n_removed long, new_sha256 string" + ", kept_text string" * with_text).fields])
+    texts = _keyed(docs, id_col, text_col)
+    scan, copies, hits = repeated_windows(scratch, texts, window=window, m=m, hot_bytes=hot_bytes)
+    schema = StructType([texts.schema["doc_id"], texts.schema["h"], *StructType.fromDDL("n_removed long, new_sha256 string").fields])
 
     def run(batches):
         for batch in batches:
-            raw, off = column_bytes(batch.column(1))
-            lists = batch.column(2)
-            o = np.asarray(lists.offsets, np.int64)
-            s, mask = (np.asarray(lists.values.field(i), np.int64) for i in (0, 1))
-            n, sha, kept = [], [], []
+            raw, off = column_bytes(batch.column(2))
+            o, s, mask = flat_lists(batch.column(3), 0, 1)
+            n, sha = [], []
             for d in range(len(batch)):
-                w, gone = _removed(raw[off[d] : off[d + 1]].tobytes(), s[o[d] : o[d + 1]], mask[o[d] : o[d + 1]], window)
-                text = b" ".join([x for x, g in zip(w, gone.tolist()) if not g])
-                n.append(int(gone.sum()))
-                sha.append(hashlib.sha256(text).hexdigest())
-                if with_text:
-                    kept.append(text.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *[pa.array(kept, pa.string())] * with_text], names=schema.names)
+                w = raw[off[d] : off[d + 1]].tobytes().split()
+                gone = _removed(w, s[o[d] : o[d + 1]], mask[o[d] : o[d + 1]], window)
+                n.append(sum(gone))
+                sha.append(hashlib.sha256(b" ".join([x for x, g in zip(w, gone) if not g])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=schema.names)
 
-    changed = texts.join(hits, "doc_id").mapInArrow(run, schema)
-    out = scan.select("doc_id", "n_words", "full_sha256").join(changed, "doc_id", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha256", "full_sha256").alias("kept_sha256"), *["kept_text"] * with_text)
+    changed = texts.join(hits, _same_row(texts, hits)).select(texts["doc_id"], texts["h"], "t", "x").mapInArrow(run, schema)
+    changed = scratch.put(changed, "changed").select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "n_removed", "new_sha256")
+    out = scan.join(copies, "words_sha256", "left").join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")), "left")
+    whole = F.col("copies").isNotNull()
+    n_removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept = F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("new_sha256", "words_sha256"))
+    return out.select("doc_id", "n_words", n_removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
 
 
-def remove(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot: int = 20000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def remove(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8, hot_bytes: int = 1 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """`docs` with the repeated windows' words cut from the texts that hold any (their other words joined by
     one space); all columns and rows stay."""
+    _check(window, m)
     scratch = Scratch(spark, "substring")
-    _, hits = repeated_windows(scratch, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), window=window, m=m, hot=hot)
-    scratch.drop("scan")
-    place = docs.columns.index(text_col)
-    schema = StructType([f if f.name != text_col else f.__class__(f.name, f.dataType) for f in docs.schema.fields])
+    scan, copies, hits = repeated_windows(scratch, _keyed(docs, id_col, text_col), window=window, m=m, hot_bytes=hot_bytes)
+    whole = scan.join(copies, "words_sha256").select("doc_id", "h").distinct().select("doc_id", "h", F.lit(None).alias("x"))
+    hits = scratch.put(hits.unionByName(whole).withColumnsRenamed({"doc_id": "id", "h": "g"}).withColumn("hit", F.lit(True)), "all")
+    scratch.drop("scan", "copies", "hits")
+    place, key = docs.columns.index(text_col), docs.columns.index(id_col)
+    rows = plain(docs)
+    text = f"c{place}"
+    rows = rows.join(hits, F.col(f"c{key}").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("g")), "left")
+    rows = rows.select(*[f"c{i}" for i in range(len(docs.columns))], "x", F.coalesce("hit", F.lit(False)).alias("hit"))
+    schema = StructType([f for f in rows.schema.fields if f.name[0] == "c"])
+    schema[text].nullable = True
 
     def run(batches):
         for batch in batches:
-            *cols, lists = batch.columns
-            texts = cols[place].to_pylist()
-            o = np.asarray(lists.offsets, np.int64)
-            s, mask = (np.asarray(lists.values.field(i), np.int64) for i in (0, 1))
-            for d in np.flatnonzero(np.diff(o)):
-                w, gone = _removed(texts[d].encode(), s[o[d] : o[d + 1]], mask[o[d] : o[d + 1]], window)
-                texts[d] = b" ".join([x for x, g in zip(w, gone.tolist()) if not g]).decode()
-            cols[place] = pa.array(texts, pa.string())
+            *cols, lists, hit = batch.columns
+            o, s, mask = flat_lists(lists, 0, 1)
+            at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            if len(at):
+                texts = cols[place].to_pylist()
+                for d in at:
+                    w = texts[d].encode().split()
+                    gone = _removed(w, s[o[d] : o[d + 1]], mask[o[d] : o[d + 1]], window) if o[d] < o[d + 1] else [True] * len(w)
+                    texts[d] = b" ".join([x for x, g in zip(w, gone) if not g]).decode()
+                cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    none = F.array().cast("array<struct<s:int,mask:bigint>>")
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"))
-    joined = docs.join(hits, docs[id_col] == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], F.coalesce("__x", none).alias("__x"))
-    return joined.mapInArrow(run, schema)
+    return named(rows.mapInArrow(run, schema), docs.columns)

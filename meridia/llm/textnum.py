@@ -13,7 +13,8 @@ import pyarrow as pa
 
 RUN_BYTES = 1 << 20
 P = np.uint64(0x9E3779B97F4A7C15 | 1)
-P_INV = np.uint64(pow(int(P), -1, 1 << 64))
+#: The bases of two families of hashes.
+BASES = (P, np.uint64(0xD6E8FEB86659FD93))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -95,11 +96,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-_POW: list[np.ndarray] = [powers(P, 1), powers(P_INV, 1)]
+_POW: list[list[np.ndarray]] = [[powers(b, 1), powers(np.uint64(pow(int(b), -1, 1 << 64)), 1)] for b in BASES]
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: sum of byte * P**position modulo 2**64, mixed.
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: sum of byte * base**position modulo 2**64, mixed.
 
     Spans are ascending; they may end before the next one starts or share starts (prefixes).
     """
@@ -110,9 +111,10 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
             b = max(a + 1, int(np.searchsorted(start, start[a] + RUN_BYTES, side="left")))
             lo, hi = int(start[a]), int(end[a:b].max())
             n = hi - lo + 1
-            if len(_POW[0]) < n:
-                _POW[0], _POW[1] = powers(P, n), powers(P_INV, n)
-            up, down = _POW[0], _POW[1]
+            if len(_POW[family][0]) < n:
+                base = BASES[family]
+                _POW[family] = [powers(base, n), powers(np.uint64(pow(int(base), -1, 1 << 64)), n)]
+            up, down = _POW[family]
             total = np.empty(n, np.uint64)
             total[0] = 0
             np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])

@@ -93,7 +93,7 @@ def test_near_duplicates_equal_sql(spark, data, duck):
     same(queries.op3_minhash_neardup(spark, data), duck, queries.ORACLE_SQL["op3_minhash_neardup"])
 
 
-def brute_removal(rows, window):
+def plain_removal(rows, window):
     count, words = Counter(), {}
     for n, (_, t) in enumerate(rows):
         w = words[n] = WORD.findall(t or "")
@@ -107,7 +107,11 @@ def brute_removal(rows, window):
                 gone[k : k + window] = [True] * window
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+    return out
+
+
+def brute_removal(rows, window):
+    return sorted(plain_removal(rows, window), key=repr)
 
 
 def removal_rows():
@@ -119,30 +123,33 @@ def removal_rows():
     rows += [(200, text(50))] * 2 + [(300 + i, rows[0][1]) for i in range(5)]
     half = text(35)
     rows += [(400, half + " x " + half), (401, text(20000))]
+    odd = text(70)
+    rows += [(None, odd), (None, odd), (None, text(50)), (None, None), (500, odd + " y"), (501, odd.replace(" ", "\n")), (502, text(40)), (502, text(40)), (503, "w" * 300000 + " " + odd)]
+    rows += [(504, text(20))] * 2
     return rows
 
 
 def test_substring_removal_equals_brute_force(spark):
     rows = removal_rows()
     df = spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, n_words string")
-    for hot in (20000, 3):
-        got = sorted(tuple(r) for r in substring.dedup(spark, df.dropDuplicates(["doc_id"]), hot=hot).collect())
-        assert got == brute_removal([r for n, r in enumerate(rows) if r not in rows[:n]], 35)
-    small = sorted(tuple(r) for r in substring.dedup(spark, df.dropDuplicates(["doc_id"]), window=12, m=4).collect())
-    assert small == brute_removal([r for n, r in enumerate(rows) if r not in rows[:n]], 12)
+    for hot_bytes in (1 << 20, 300):
+        assert rows_of(substring.dedup(spark, df, hot_bytes=hot_bytes)) == brute_removal(rows, 35)
+    assert rows_of(substring.dedup(spark, df, window=12, m=4)) == brute_removal(rows, 12)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_substring_rewrite_and_empty(spark):
-    rows = [r for n, r in enumerate(removal_rows()) if r not in removal_rows()[:n]]
-    df = spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, x string")
-    want = {i: (removed, sha) for i, _, removed, sha in brute_removal(rows, 35)}
-    for r in substring.remove(spark, df).collect():
-        removed, sha = want[r["doc_id"]]
-        if removed:
-            assert hashlib.sha256(r["text"].encode()).hexdigest() == sha
-        else:
-            assert r["text"] == dict(rows)[r["doc_id"]]
-    assert substring.remove(spark, df).columns == df.columns
+    rows = removal_rows()
+    df = spark.createDataFrame([(i, t, "q", "r") for i, t in rows], "doc_id long, text string, x string, __x string")
+    got = substring.remove(spark, df.select("x", "text", "doc_id", "__x"))
+    assert got.columns == ["x", "text", "doc_id", "__x"] and {(r["x"], r["__x"]) for r in got.collect()} == {("q", "r")}
+    digest = lambda t: hashlib.sha256(" ".join(WORD.findall(t or "")).encode()).hexdigest()
+    assert sorted(((r["doc_id"], digest(r["text"])) for r in got.collect()), key=repr) == sorted(((i, sha) for i, _, _, sha in brute_removal(rows, 35)), key=repr)
+    untouched = {t for t, (_, _, n, _) in zip((t for _, t in rows), plain_removal(rows, 35)) if not n}
+    assert untouched <= {r["text"] for r in got.collect()}
     assert substring.dedup(spark, df.limit(0)).count() == 0
     assert substring.remove(spark, df.limit(0)).count() == 0
 
