@@ -15,8 +15,10 @@ those found at `fdr`, as far as the model fits. A token alone in its table needs
 Positions come from the pieces between matches and the matches themselves, which
 interleave; they are code points, end exclusive.
 
-Defined results: a null text counts as empty and has no spans; repeated rows have equal results;
-extra columns are ignored.
+Defined results: a null text counts as empty and has no spans; repeated rows have equal results; spans that start
+alike are listed by kind; tokens of equal evidence are found or left together; an empty table gives an empty result; texts of any
+length are scanned whole, in time that grows with the length (and with the 1.5th power of the number of matches, by a small constant);
+extra columns are ignored unless `keep` names them.
 """
 
 from __future__ import annotations
@@ -67,21 +69,41 @@ def one(col: Column, f) -> Column:
     return F.element_at(F.transform(F.array(col), f), 1)
 
 
+def running(values: Column, start: Column, op) -> Column:
+    """The running sums (or another `op`) of an array. Arrays grow by copying, so it goes by blocks of about the root
+    of the length: that copies n**1.5 numbers, not n**2."""
+
+    def walk(x: Column, at: Column) -> Column:
+        step = lambda acc, v: one(op(acc["at"], v), lambda y: F.struct(y.alias("at"), F.concat(acc["out"], F.array(y)).alias("out")))
+        return F.aggregate(x, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    def by_blocks(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.greatest(size, F.lit(1))), lambda k: F.slice(x, k + 1, F.greatest(size, F.lit(1))))
+        return one(blocks, whole)
+
+    def whole(blocks: Column) -> Column:
+        ends = walk(F.transform(blocks, lambda b: F.aggregate(b, start, op)), start)
+        before = F.concat(F.array(start), ends)
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), F.slice(before, F.lit(1), F.size(blocks)).alias("at")), lambda v: walk(v["b"], v["at"])))
+
+    return F.when(F.size(values) > 0, one(values, by_blocks)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """array<struct<s, k, e>> of the matches whose `group` has at least `least` characters."""
-    p = F.lit(pattern)
-    found, part, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<s:int,k:int,e:int,n:int>>")
-    x = F.arrays_zip(found.alias("m"), part.alias("g"), F.slice(gaps, 1, F.size(found)).alias("b"))
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    sizes = lambda x: F.transform(x, lambda v: F.char_length(v))
+    part = sizes(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else F.array().cast("array<int>")
+    x = F.arrays_zip(sizes(found).alias("m"), sizes(F.slice(gaps, 1, F.size(found))).alias("b"), part.alias("g"))
 
-    def step(acc: Column, v: Column) -> Column:
-        s = acc["at"] + F.char_length(v["b"])
-        e = s + F.char_length(v["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.char_length(v["g"]).alias("n")))).alias("out"))
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x, lambda v: v["m"] + v["b"]), F.lit(0), lambda a, b: a + b)
+        return F.transform(F.arrays_zip(x.alias("x"), ends.alias("e")), lambda v: F.struct((v["e"] - v["x"]["m"]).alias("s"), F.lit(kind).alias("k"), v["e"].alias("e"), v["x"]["g"].alias("n")))
 
-    walked = F.aggregate(x, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    kept = F.transform(F.filter(walked, lambda v: v["n"] >= least), lambda v: F.struct(v["s"], v["k"], v["e"]))
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+    spans = one(x, placed)
+    spans = F.filter(spans, lambda v: v["n"] >= least) if group else spans
+    return F.when(text.rlike(pattern), F.transform(spans, lambda v: F.struct(v["s"], v["k"], v["e"]))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
 
 
 def _two_sided(z: Column) -> Column:
@@ -191,27 +213,54 @@ def scan(spark: SparkSession, docs: DataFrame, *, fdr: float = 0.05, text_col: s
     )
     parts = Scratch(spark, "secrets").put(parts, "parts")
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    free = F.filter("found", lambda v: ~F.exists(F.col("base"), lambda b: (b["s"] < v["e"]) & (v["s"] < b["e"])))
+    free = F.when(F.size("found") > 0, F.when(F.size("base") > 0, _free(F.col("base"), F.col("found"))).otherwise(F.col("found"))).otherwise(F.array().cast("array<struct<s:int,e:int,b:int>>"))
     least = threshold(parts.where(F.size("found") > 0).select(base.alias("base"), "found").select(F.explode(free).alias("x")).select("x.b"), fdr)
     extra = F.transform(F.filter(free, lambda v: v["b"] >= least), lambda v: F.struct(v["s"].alias("s"), F.lit(KINDS.index("random")).alias("k"), v["e"].alias("e")))
     counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")]
     return parts.select(*keep, *counts, base.alias("base"), "found").select(*keep, "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
+def _free(base: Column, found: Column) -> Column:
+    """The ones of `found` that overlap no span of `base`: in the order of their starts, none before reaches in and none
+    after starts inside."""
+    events = F.array_sort(F.concat(F.transform(base, lambda v: F.struct(v["s"].alias("s"), F.lit(0).alias("k"), v["e"].alias("e"), F.lit(0).alias("b"))), F.transform(found, lambda v: F.struct(v["s"].alias("s"), F.lit(1).alias("k"), v["e"].alias("e"), v["b"].alias("b")))))
+
+    def apart(x: Column) -> Column:
+        reach = running(F.transform(x, lambda v: F.when(v["k"] == 0, v["e"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        end = F.lit(2**31 - 1)
+        ahead = F.reverse(running(F.reverse(F.transform(x, lambda v: F.when(v["k"] == 0, v["s"]).otherwise(end))), end, lambda a, b: F.least(a, b)))
+        alone = F.filter(F.arrays_zip(x.alias("x"), reach.alias("r"), ahead.alias("a")), lambda v: (v["x"]["k"] == 1) & (v["r"] <= v["x"]["s"]) & (v["a"] >= v["x"]["e"]))
+        return F.transform(alone, lambda v: F.struct(v["x"]["s"].alias("s"), v["x"]["e"].alias("e"), v["x"]["b"].alias("b")))
+
+    return one(events, apart)
+
+
 def listed(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     kind = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda v: F.concat_ws(":", F.get(kind, v["k"]), v["s"].cast("string"), v["e"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each maximal run of overlapping spans replaced by `mark`."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+#: Code points of a piece in which a text is cut.
+PIECE = 1024
 
-    def step(acc: Column, v: Column) -> Column:
-        gap = F.when(v["s"] >= acc["at"], F.array(F.substring(text, acc["at"] + 1, v["s"] - acc["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], v["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    done = F.aggregate(spans, start, step)
-    tail = F.substring(text, done["at"] + 1, F.char_length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), tail)).otherwise(text)
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each maximal run of overlapping spans replaced by `mark`; spans come by start."""
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        whole = F.slice(pieces, first + 1, F.ceil(b / PIECE).cast("int") - first)
+        return F.when(b > a, F.substring(F.array_join(whole, ""), a - PIECE * first + 1, b - a)).otherwise("")
+
+    def marked(x: Column) -> Column:
+        reach = x["reach"]
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        gaps = F.filter(F.arrays_zip(x["spans"].alias("v"), before.alias("at")), lambda g: g["v"]["s"] >= g["at"])
+        head = F.array_join(F.transform(gaps, lambda g: F.concat(cut(x["pieces"], g["at"], g["v"]["s"]), F.lit(mark))), "")
+        return F.concat(head, cut(x["pieces"], F.element_at(reach, -1), x["n"]))
+
+    reach = running(F.transform(spans, lambda v: v["e"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))  # an array is cut without passing over the text again
+    x = F.struct(spans.alias("spans"), reach.alias("reach"), pieces.alias("pieces"), F.char_length(text).alias("n"))
+    return F.when(F.size(spans) > 0, one(x, marked)).otherwise(text)
