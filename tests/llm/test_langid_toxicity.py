@@ -131,3 +131,42 @@ def test_lambda_solves_its_equation():
     v, p = np.array([-0.5, 3.0]), np.array([0.999, 0.001])
     lam, k = toxicity.karlin_altschul(v, p)
     assert (p * np.exp(lam * v)).sum() == pytest.approx(1, abs=1e-6) and k == pytest.approx(0.001)
+
+
+def plain_score(text, m):
+    """The score of a text by its definition: tokens, their strongest features, best segments, bits, calibration."""
+    import re
+
+    raw = np.frombuffer(text.encode(), np.uint8)
+    gain = []
+    for w in re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda c: c[0].lower(), text)):
+        found = [0.0]
+        b = np.frombuffer(w.encode(), np.uint8)
+        zero, end = np.array([0]), np.array([len(b)])
+        for f in toxicity.features(b, zero, end):
+            found += m.gain[m.keys == f[0]].tolist()
+        gain.append(max(found))
+    assert len(raw) == len(text.encode())
+    segments = brute_segments([g - m.drift for g in gain])
+    bits = [b for b in ((m.lam * s - np.log(max(m.k * len(gain), 1e-9))) / np.log(2) for *_, s in segments) if b > 0] or [0.0]
+    hot, n = sum(g > m.drift for g in gain), max(len(gain), 1)
+    x = np.array([1, *np.log1p([max(bits), sum(bits), 1000 * hot / n, 100 * sum(bits) / n])]) if hot else np.array([1, 0, 0, 0, 0.0])
+    return max(1 / (1 + np.exp(-x @ w)) for w in m.weights)
+
+
+def test_score_equals_a_plain_version(spark):
+    rows, labels = toxic_corpus(spark)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [t for _, t, _ in rows[:40]] + ["", "w1 Grumble-snarls é", "grumble " * 3 + "w2 " * 30 + "snarl", "größer GRUMBLE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(spark, df, model, keep=("doc_id",)).collect():
+        assert r["score"] == pytest.approx(plain_score(texts[r["doc_id"]], model), abs=1e-9)
+
+
+def test_toxicity_recall_on_the_tables(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").collect()}
+    got = [r for r in queries.op4_toxicity(spark, d).select("doc_id", "held_out", "predicted").collect() if r["held_out"] and r["doc_id"] in truth]
+    toxic = [r["predicted"] for r in got if truth[r["doc_id"]]]
+    assert sum(toxic) >= 0.75 * len(toxic) and sum(r["predicted"] for r in got if not truth[r["doc_id"]]) <= 0.02 * len(got)
