@@ -172,6 +172,10 @@ def fit(spark: SparkSession, docs: DataFrame, marks: DataFrame, *, text_col: str
 
     size = {(h, y): 0 for h in (0, 1) for y in (0, 1)} | {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
 
+    if not (size[0, 0] + size[1, 0] and size[0, 1] + size[1, 1]):  # labels of documents that aren't here
+        scratch.close()
+        return model
+
     def odds(c0, c1, n0: int, n1: int):
         """The log-odds of a feature, null if it isn't significant."""
         rate = (c0 + c1 + 0.5) / (n0 + n1 + 1)

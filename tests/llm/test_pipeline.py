@@ -74,3 +74,21 @@ def test_repeated_rows_and_rows_without_an_id(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(7, text("a")), (9, text("b")), (None, text("c")), (None, d[0]), (None, None), (None, "")], key=str)
     cut = corpus_pipeline.cut_repeats(spark, single, "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in cut), key=str) == sorted(got, key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["score", "predicted", "passages", "held_out", "spans", "base", "found", "hex", "assign", "access", "__x", "__id", "x", "id", "h", "hit", "kept", "n", "__key", "__text", "c0", "sig", "m"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [(1, text), (1, text), (2, text + " token=abcdefgh"), (3, None), (4, "a token=abcdefgh b"), (None, "x " + text)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.create_map(F.lit("k"), F.lit(1)) if name == "sig" else F.lit(k))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/0")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, spark.read.parquet(f"{tmp_path}/{k}"), str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k + 1}")
+    last = spark.read.parquet(f"{tmp_path}/4")
+    assert all(r[n] == k for r in last.collect() for k, n in enumerate(names) if n != "sig")
+    assert sorted((r["doc_id"], r["text"]) for r in last.collect()) == [(1, text), (3, None), (4, "a [secret] b")]
