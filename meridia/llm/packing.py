@@ -2,18 +2,22 @@
 
 Bin packing depends on the lengths alone, so the plan is made from the length histogram (at
 most `capacity` rows, whatever the corpus): branch-and-bound completes the bin of the largest
-length left with its undominated fillings, least waste first, applies a filling to as many bins
-as the counts allow, and prunes a branch whose waste can't beat the incumbent, which starts as
-the best-fit-decreasing packing. Each piece then finds its bin from its rank among the pieces
-of its length.
+length left with its undominated fillings, made one by one as the search asks for them, applies a
+filling to as many bins as the counts allow (or, further on, to one), and prunes a branch whose waste can't beat the incumbent.
+The first incumbent is the best-fit-decreasing packing; dives that complete each bin by its best filling, with a
+price on each piece besides the waste (so that small pieces aren't spent too early), give further ones. Each piece then finds its
+bin from its rank among the pieces of its length. The search ends at the lower bound, or after `effort` fillings looked at.
 
 Defined results: a null or empty text is one piece holding only the end id; repeated rows are
-packed each; extra columns are ignored; an empty table gives an empty result.
+packed each; equal lengths are interchangeable, so ties go by the order in which pieces are read; texts of any length, long runs
+of blanks included, are encoded whole and cut into pieces; extra columns, whatever their names, are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from zlib import crc32
@@ -34,52 +38,97 @@ Filling = tuple[int, ...]  # lengths, descending
 # ---- the plan ------------------------------------------------------------------------------
 
 
-def _best_sums(counts: np.ndarray, room: int) -> Iterator[Filling]:
-    """Fillings of `room`, one for each reachable sum, largest sum first (bit-set subset sums)."""
-    full = (1 << (room + 1)) - 1
-    reach, steps = 1, []
-    for size in range(room, 0, -1):
-        left, part = int(counts[size]), 1
-        left = min(left, room // size)
-        while left > 0:
-            k = min(part, left)
-            steps.append((reach, size, k))
-            reach |= (reach << (size * k)) & full
-            left -= k
-            part *= 2
-        if reach == full:
-            break
-    for total in range(room, -1, -1):
-        if not reach >> total & 1:
-            continue
-        out, rest = [], total
-        for before, size, k in reversed(steps):
-            if not before >> rest & 1:
-                out += [size] * k
-                rest -= size * k
-        yield tuple(sorted(out, reverse=True))
-
-
-def _all_fillings(counts: np.ndarray, room: int) -> list[Filling]:
-    """Every undominated filling of `room`, least waste first (for few lengths)."""
-    sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
-    found: list[Filling] = []
-
-    def go(i: int, rest: int, got: list[int]) -> None:
-        if i == len(sizes):
-            found.append(tuple(got))
-            return
-        for k in range(min(int(counts[sizes[i]]), rest // sizes[i]), -1, -1):
-            go(i + 1, rest - k * sizes[i], got + [sizes[i]] * k)
-
-    go(0, room, [])
-
-    def dominated(f: Filling) -> bool:
-        waste = room - sum(f)
-        spare = [s for s in sizes if counts[s] > f.count(s)]
-        return any(s <= waste for s in spare) or any(0 < s - x <= waste for x in set(f) for s in spare)
-
-    return sorted((f for f in found if not dominated(f)), key=lambda f: (room - sum(f), len(f)))
+def _add(reach: int, size: int, left: int, full: int) -> int:
+    """The sums reachable with up to `left` more pieces of a size, as bits."""
+    part = 1
+    while left > 0:
+        k = min(part, left)
+        reach |= (reach << (size * k)) & full
+        left -= k
+        part *= 2
+    return reach
+
+
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        yield (x & -x).bit_length() - 1
+        x &= x - 1
+
+
+def _with_sum(sizes: list[int], counts: list[int], ahead: list[int], total: int) -> Iterator[Filling]:
+    """Every filling of just this sum, those of larger pieces first; ahead[i]: the sums of sizes[i:]."""
+
+    def go(i: int, rest: int, got: Filling) -> Iterator[Filling]:
+        while rest and i < len(sizes) and sizes[i] > rest:
+            i += 1
+        if not rest:
+            yield got
+        elif i < len(sizes) and ahead[i] >> rest & 1:
+            for k in range(min(counts[i], rest // sizes[i]), -1, -1):
+                left = rest - k * sizes[i]
+                if ahead[i + 1] >> left & 1:
+                    yield from go(i + 1, left, got + (sizes[i],) * k)
+
+    return go(0, total, ())
+
+
+def _dominated(f: Filling, waste: int, spare: int) -> bool:
+    """Whether a spare piece could join the filling, or take the place of some of its pieces without being smaller:
+    those could fill that piece's place elsewhere. `spare`: the lengths left over, as bits."""
+    if waste and spare & ((2 << waste) - 2):
+        return True
+    one, more = 0, 0  # the sums of single pieces, and of two or more
+    for x in f:
+        more |= (one | more) << x
+        one |= 1 << x
+    larger = more if waste == 0 else more | one << 1
+    reach, done, room = larger, 0, max(waste - 1, 0)  # spread by up to `waste`, single pieces from 1 on
+    while done < room:
+        step = min(done + 1, room - done)
+        reach |= reach << step
+        done += step
+    return bool((reach | more << waste) & spare)
+
+
+def fillings(counts: np.ndarray, room: int, price: float = 0.0, budget: list[int] | None = None) -> Iterator[Filling]:
+    """Every undominated filling of `room`, best first: least waste plus `price` for each piece, as far as sums tell.
+    `budget[0]` falls by one for each filling looked at; nothing more comes once it is spent."""
+    room = min(room, len(counts) - 1)
+    sizes = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
+    have = [int(counts[x]) for x in sizes]
+    full = (2 << room) - 1
+    ahead = [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        ahead[i] = _add(ahead[i + 1], sizes[i], min(have[i], room // sizes[i]), full)
+    totals = list(_bits(ahead[0]))[::-1]
+    if price:
+        fewest, level, seen = {0: 0}, 1, 1
+        for n in range(1, 9):  # sums of more pieces count as of nine
+            nxt = 0
+            for x in sizes:
+                nxt |= level << x
+            level = nxt & full & ~seen
+            seen |= level
+            fewest |= dict.fromkeys(_bits(level), n)
+        totals.sort(key=lambda t: (room - t) + price * fewest.get(t, 9))
+    top = (2 << max(sizes, default=0)) - 1
+    for total in totals:
+        for f in _with_sum(sizes, have, ahead, total):
+            if budget is not None:
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return
+            spare = sum(1 << x for x in sizes if counts[x] > f.count(x)) if len(sizes) < 24 else _spare(sizes, counts, f)
+            if not _dominated(f, room - total, spare & top):
+                yield f
+
+
+def _spare(sizes: list[int], counts: np.ndarray, f: Filling) -> int:
+    gone = [x for x in set(f) if counts[x] <= f.count(x)]
+    bits = np.zeros((sizes[0] if sizes else 0) + 1, np.uint8)
+    bits[sizes] = 1
+    bits[gone] = 0
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
@@ -113,54 +162,87 @@ def _times(counts: np.ndarray, lengths) -> int:
     return int((counts[sizes] // need).min())
 
 
-def plan(counts: np.ndarray, capacity: int, *, effort: int = 4000, width: int = 4) -> list[tuple[Filling, int]]:
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can beat: by volume, by pieces that can't share a bin, and by volumes in which
+    lengths are rounded to shares that a bin can't hold more of."""
+    size = np.arange(len(counts))
+    n, volume = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * size)[::-1])[::-1]  # of this length or more
+    n, volume = np.append(n, 0), np.append(volume, 0)
+    best = -(-int(volume[0]) // capacity)
+    half = capacity // 2 + 1
+    for k in range(capacity // 2 + 1):  # those above capacity - k are alone; those up to it above the half take some from k on
+        alone, pairs = int(n[capacity - k + 1]), int(n[half] - n[capacity - k + 1])
+        free = pairs * capacity - int(volume[half] - volume[capacity - k + 1])
+        best = max(best, alone + pairs + max(0, -(-(int(volume[k] - volume[half]) - free) // capacity)))
+    for k in range(1, 40):
+        share = (k + 1) * size // capacity
+        exact = (k + 1) * size % capacity == 0
+        best = max(best, -(-int((counts * np.where(exact, k * size, share * capacity)).sum()) // (k * capacity)))
+    return best
+
+
+#: Prices on a piece, in tokens of waste, that the dives try.
+PRICES = (0, 2, 6, 12, 20, 32, 48, 64, 80, 112)
+
+
+def plan(counts: np.ndarray, capacity: int, *, effort: int = 40_000) -> list[tuple[Filling, int]]:
     """Bins (lengths, how many alike) that hold `counts[length]` pieces of each length.
 
-    `effort` bounds the nodes of the search, not the pieces: beyond it the best packing so far stands."""
+    `effort` bounds the fillings that the search looks at, not the pieces: beyond it the best packing so far stands."""
     counts = np.asarray(counts, np.int64).copy()
     counts[0] = 0
     weight = np.arange(len(counts))
     best = best_fit(counts, capacity)
     bins = sum(k for _, k in best)
-    floor = -(-int((counts * weight).sum()) // capacity)
-    if bins <= max(floor, int(counts[capacity // 2 + 1 :].sum())):
-        return best
-    small = counts.sum() <= 40 and np.count_nonzero(counts) <= 14
-
-    def options(left: np.ndarray) -> Iterator[tuple[Filling, int]]:
+    floor = lower_bound(counts, capacity)
+    def options(left: np.ndarray, price: float, budget: list[int]) -> Iterator[tuple[Filling, int]]:
         big = int(np.flatnonzero(left)[-1])
-        left = left.copy()
-        left[big] -= 1
-        fillings = _all_fillings(left, capacity - big) if small else [f for _, f in zip(range(width), _best_sums(left, capacity - big))]
-        left[big] += 1
-        for f in fillings:
-            bin_ = (big, *f)
-            yield bin_, 1 if small else _times(left, bin_)
-
-    path: list[tuple[Filling, int]] = []
-    stack = [(counts, 0, options(counts))]
-    nodes = 0
-    while stack and nodes < effort and bins > floor:
-        left, used, choices = stack[-1]
-        step = next(choices, None)
-        if step is None:
-            stack.pop()
-            if path:
-                path.pop()
-            continue
-        nodes += 1
-        bin_, times = step
-        after = left.copy()
-        for x in bin_:
-            after[x] -= times
-        rest = int((after * weight).sum())
-        if used + times + max(-(-rest // capacity), int(after[capacity // 2 + 1 :].sum())) >= bins:
-            continue
-        if not rest:
-            best, bins = [*path, step], used + times
-            continue
-        path.append(step)
-        stack.append((after, used + times, options(after)))
+        rest = left.copy()
+        rest[big] -= 1
+        many = False
+        for f in fillings(rest, capacity - big, price, budget):
+            times = _times(left, (big, *f))
+            many |= times > 1
+            yield (big, *f), times
+        if many:
+            for f in fillings(rest, capacity - big, price, budget):
+                yield (big, *f), 1
+
+    def search(price: float, budget: list[int], dive: bool) -> None:
+        nonlocal best, bins
+        path: list[tuple[Filling, int]] = []
+        stack = [(counts, 0, options(counts, price, budget))]
+        while stack and budget[0] > 0 and bins > floor:
+            left, used, choices = stack[-1]
+            step = next(choices, None)
+            if step is None:
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
+            bin_, times = step
+            after = left.copy()
+            for x in bin_:
+                after[x] -= times
+            rest = int((after * weight).sum())
+            if used + times + max(-(-rest // capacity), int(after[capacity // 2 + 1 :].sum())) >= bins:
+                if dive:
+                    return
+                continue
+            if not rest:
+                best, bins = [*path, step], used + times
+                if dive:
+                    return
+                continue
+            path.append(step)
+            stack.append((after, used + times, options(after, price, budget)))
+
+    first = 0
+    for price in PRICES:
+        before = bins
+        search(price, [effort // 20], True)
+        first = price if bins < before else first
+    search(first, [effort // 2], False)
     return best
 
 
@@ -191,6 +273,10 @@ def _byte_of() -> dict[str, int]:
     return out
 
 
+LONG_BLANK = 50_000
+BLANKS = re.compile(r"(?<!\s)\s{%d}" % LONG_BLANK)
+
+
 class ByteTokenizer:
     """Ids of a byte-level BPE file (its JSON text), encoded by tiktoken where ids follow the merges."""
 
@@ -211,8 +297,15 @@ class ByteTokenizer:
             raise NotImplementedError("a byte-level BPE file without normaliser whose ids follow its merges is needed")
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = {x["content"]: x["id"] for x in added}
+        self.text, self.slow = text, None
 
     def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG_BLANK and BLANKS.search(text):  # the other's pattern matcher gives up on these
+            if self.slow is None:
+                import tokenizers
+
+                self.slow = tokenizers.Tokenizer.from_str(self.text)
+            return self.slow.encode(text, add_special_tokens=False).ids
         for name, i in self.special.items():
             if name in text:
                 head, _, tail = text.partition(name)
@@ -220,8 +313,6 @@ class ByteTokenizer:
         return self.core.encode_ordinary(text)
 
     def _many(self, text: str) -> list[int]:
-        import re
-
         out: list[int] = []
         for part in re.split("(" + "|".join(map(re.escape, self.special)) + ")", text):
             out += [self.special[part]] if part in self.special else self.core.encode_ordinary(part)

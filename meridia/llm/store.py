@@ -34,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch, which a Python worker and its executor's off-heap buffers hold at a time.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+#: Rows that a scan decodes at a time: long texts in batches of thousands would be arrays of tens of megabytes.
+SCAN_ROWS = ("spark.sql.parquet.columnarReaderBatchSize", "512")
 #: Shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage. (A lazy result
 #: that is run a second time makes them anew.)
 CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -45,7 +47,7 @@ def ship(spark: SparkSession) -> None:
 
     Batches are bounded in bytes (rows may be long texts) and shuffle files freed early, unless the session sets its own way."""
     sc = spark.sparkContext
-    for k, v in (BATCH_BYTES, CLEANUP):
+    for k, v in (BATCH_BYTES, SCAN_ROWS, CLEANUP):
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     if sc.applicationId in _shipped:

@@ -157,3 +157,77 @@ def test_packing_is_whole_and_gapless(spark, data):
     total = sum(w[3] for w in want)
     assert len(by_seq) <= -(-total // 1024) + 1
     assert queries.op8_packing(spark, data).select("doc_id").distinct().count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_search_beats_its_first_incumbent():
+    rng = np.random.default_rng(0)
+    for low, high, n, gain in ((200, 521, 3000, 25), (250, 401, 5000, 40), (100, 601, 3000, 3)):
+        counts = np.bincount(rng.integers(low, high, n), minlength=1025)
+        bins = packing.plan(counts, 1024)
+        held = np.zeros(1025, np.int64)
+        for lengths, k in bins:
+            assert sum(lengths) <= 1024
+            np.add.at(held, list(lengths), k)
+        got, first, bound = sum(k for _, k in bins), sum(k for _, k in packing.best_fit(counts, 1024)), packing.lower_bound(counts, 1024)
+        assert (held == counts).all() and bound <= got <= first - gain
+
+
+def test_fillings_are_the_undominated_ones():
+    from itertools import combinations
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        items = sorted(rng.integers(1, 20, 7).tolist(), reverse=True)
+        room = int(rng.integers(10, 40))
+        every = {tuple(items[i] for i in c) for n in range(8) for c in combinations(range(7), n)}
+        every = {f for f in every if sum(f) <= room}
+
+        def spare(f, items=items):
+            left = list(items)
+            for x in f:
+                left.remove(x)
+            return left
+
+        def worse(f, room=room, spare=spare):
+            waste = room - sum(f)
+            if any(s <= waste for s in spare(f)):
+                return True
+            parts = [c for n in range(1, len(f) + 1) for c in combinations(f, n)]
+            return any(sum(c) + (len(c) == 1) <= s <= sum(c) + waste for c in parts for s in spare(f))
+
+        counts = np.bincount(items, minlength=41)
+        for price in (0, 5):
+            got = list(packing.fillings(counts, room, price))
+            assert len(got) == len(set(got)) and set(got) == {f for f in every if not worse(f)}
+
+
+def test_lower_bound_holds():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        items = rng.integers(1, 31, int(rng.integers(1, 9))).tolist()
+        bins: list[list[int]] = []
+        best = [len(items)]
+
+        def go(i, bins, items=items, best=best):
+            if len(bins) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(bins)
+                return
+            for b in bins:
+                if sum(b) + items[i] <= 30:
+                    b.append(items[i])
+                    go(i + 1, bins)
+                    b.pop()
+            bins.append([items[i]])
+            go(i + 1, bins)
+            bins.pop()
+
+        go(0, bins)
+        assert packing.lower_bound(np.bincount(items, minlength=31), 30) <= best[0] == sum(k for _, k in packing.plan(np.bincount(items, minlength=31), 30))
+
+
+def test_long_runs_of_blanks():
+    ours, library = packing.ByteTokenizer(open(BYTES, encoding="utf-8").read(), P.PATTERN), tokenizers.Tokenizer.from_file(BYTES)
+    for t in (" " * 1_300_000, "a" + "\n \t" * 100_000 + "b", " " * 49_999 + "x" + " " * 50_001, " " * 60_000, "ab " * 40_000, "z" * 300_000):
+        assert ours.encode(t) == library.encode(t, add_special_tokens=False).ids
