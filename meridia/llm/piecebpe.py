@@ -5,15 +5,18 @@ the smallest pair rank of each word (segmented minimum), merges its leftmost non
 occurrences at once and compacts the arrays, until no pair of a vocabulary piece remains.
 
 A piece that could form a better-ranked piece with a neighbour is merged one occurrence a round,
-so the result is that of the library's priority queue.
+so the result is that of the library's priority queue. Words for which that, or their sheer length, would take many
+rounds (runs of blanks, texts without any) are finished by such a queue instead, pair by pair.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows
-and extra columns change nothing; texts of any length are encoded whole.
+and extra columns change nothing; of pairs of equal rank the leftmost goes first; texts of any length, and words of any length, are
+encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from .textnum import column_bytes, mix, runs
 
 SPACE = 0x2581
 NONE = np.iinfo(np.int32).max
+#: Symbols of a word, or best pairs of it that go one by one, beyond which it is merged by a queue.
+LONG_WORD, MANY = 4096, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -132,6 +137,7 @@ class PieceModel:
         todo = np.arange(len(key))
         slot = self._slot(key)
         self.probes = 0
+        self.pair: dict[int, int] | None = None
         while len(todo):
             self.probes += 1
             free = self.keys[slot] == -1
@@ -183,6 +189,14 @@ class PieceModel:
         if len(sym) > 1:
             same = word[:-1] == word[1:]
             piece[:-1][same] = self.merged(sym[:-1][same], sym[1:][same])
+        size = np.diff(start)
+        if (size > LONG_WORD).any():
+            live = np.ones(len(sym), bool)
+            for w in np.flatnonzero(size > LONG_WORD):
+                part = slice(start[w], start[w + 1])
+                done.append(self._queued(word[part], sym[part], where[part], piece[part]))
+                live[part] = False
+            sym, where, word, piece = sym[live], where[live], word[live], piece[live]
         while len(sym):
             rank = np.where(piece >= 0, self.rank[piece], NONE)
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -202,6 +216,16 @@ class PieceModel:
             head = np.flatnonzero(gap)
             hit = hit[(np.arange(len(hit)) - np.repeat(head, np.diff(np.append(head, len(hit))))) % 2 == 0]
             if self.risky[piece[hit]].any():
+                many, at = np.unique(word[hit[self.risky[piece[hit]]]], return_counts=True)
+                many = many[at > MANY]
+                if len(many):
+                    live = np.ones(len(sym), bool)
+                    for w in many:
+                        part = slice(*np.searchsorted(word, [w, w + 1]))
+                        done.append(self._queued(word[part], sym[part], where[part], piece[part]))
+                        live[part] = False
+                    sym, where, word, piece = sym[live], where[live], word[live], piece[live]
+                    continue
                 lead = np.concatenate(([True], word[hit][1:] != word[hit][:-1]))
                 hit = hit[lead | ~self.risky[piece[hit]]]
             sym[hit] = piece[hit]
@@ -241,6 +265,48 @@ class PieceModel:
                 word, sym = word[keep], sym[keep]
         return sym.astype(np.int32), np.searchsorted(word, np.arange(n_words + 1))
 
+    def _queued(self, word: np.ndarray, sym: np.ndarray, where: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, symbols, places) of one word merged to the end, the best and leftmost pair at a time."""
+        if self.pair is None:
+            used = self.keys >= 0
+            self.pair = dict(zip(self.keys[used].tolist(), self.vals[used].tolist()))
+        n, base = len(sym), self.n_symbols
+        ranks, pair = self.rank.tolist(), self.pair
+        s, best = sym.tolist(), np.where(piece >= 0, self.rank[piece], NONE)
+        known = np.flatnonzero(best != NONE)
+        first = (best[known].astype(np.int64) * n + known)
+        first = np.sort(first).tolist()  # the pairs there are, in order; those to come go to a heap
+        best, made = best.tolist(), piece.tolist()
+        left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), bytearray(b"\x01") * n
+        heap: list[int] = []
+        at, total = 0, len(first)
+        while heap or at < total:
+            if heap and (at == total or heap[0] < first[at]):
+                rank, i = divmod(heappop(heap), n)
+            else:
+                rank, i = divmod(first[at], n)
+                at += 1
+            if not alive[i] or best[i] != rank:
+                continue
+            j = right[i]
+            s[i], alive[j] = made[i], 0
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+            for a, b in ((left[i], i), (i, k)):
+                if a < 0 or b > n - 1:
+                    if a >= 0:
+                        best[a] = NONE
+                    continue
+                p = pair.get(s[a] * base + s[b])
+                if p is None:
+                    best[a] = NONE
+                else:
+                    best[a], made[a] = ranks[p], p
+                    heappush(heap, ranks[p] * n + a)
+        keep = np.flatnonzero(np.frombuffer(alive, np.uint8))
+        return word[keep], np.array(s, np.int32)[keep], where[keep]
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a run of texts."""
         cp, at = code_points(raw, offsets)
@@ -324,13 +390,23 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _distinct(cp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one of each distinct word, and each word's number among them (by two 64-bit sums)."""
+    """Index of one of each distinct word, and each word's number among them. Words are told apart by a 64-bit hash; those of
+    one hash are compared, and any that differ from the first are kept apart."""
     with np.errstate(over="ignore"):
         size = np.diff(start)
         spot = (np.arange(len(cp)) - np.repeat(start[:-1], size)).astype(np.uint64)
         h = np.add.reduceat(mix(cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spot * np.uint64(0xD1B54A32D192ED03)), start[:-1])
         h = mix(h + size.astype(np.uint64))
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    model = first[inverse]
+    same = size == size[model]
+    flat = np.repeat(start[:-1][model], size) + np.minimum(spot.astype(np.int64), np.repeat(np.maximum(size[model] - 1, 0), size))
+    same &= np.add.reduceat((cp[flat] != cp).astype(np.int64), start[:-1]) == 0
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        inverse = inverse.copy()
+        inverse[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
     return first, inverse
 
 

@@ -231,3 +231,26 @@ def test_long_runs_of_blanks():
     ours, library = packing.ByteTokenizer(open(BYTES, encoding="utf-8").read(), P.PATTERN), tokenizers.Tokenizer.from_file(BYTES)
     for t in (" " * 1_300_000, "a" + "\n \t" * 100_000 + "b", " " * 49_999 + "x" + " " * 50_001, " " * 60_000, "ab " * 40_000, "z" * 300_000):
         assert ours.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_long_words_and_runs_are_encoded_as_by_the_library():
+    rng = random.Random(12)
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        m = piecebpe.PieceModel(f.read())
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [" " * 100_000, "x" + " " * 130_000 + "y", "a" * 100_000, "=" * 30_000, "\n" * 5_000, "é" * 20_000, "🙂" * 6_000, pick("etaoin", 100_000), pick("ab ", 20_000), pick("  =-", 20_000)]
+    texts += [pick(rng.choice(["  a", " \t\n", "==-", "....!", "0123456789", "thei "]), rng.randrange(1, 700)) for _ in range(300)]
+    raw = "".join(texts).encode()
+    ids, off = m.encode(np.frombuffer(raw, np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts]))
+    for k, t in enumerate(texts):
+        assert ids[off[k] : off[k + 1]].tolist() == library.encode(t), t[:40]
+
+
+def test_words_of_one_hash_are_kept_apart(monkeypatch):
+    monkeypatch.setattr(piecebpe, "mix", lambda h: h * np.uint64(0))
+    cp = np.array([ord(c) for c in "abcabdababc"], np.uint32)
+    start = np.array([0, 3, 6, 8, 11])
+    first, number = piecebpe._distinct(cp, start)
+    words = ["abc", "abd", "ab", "abc"]
+    assert [words[first[k]] for k in number] == words
