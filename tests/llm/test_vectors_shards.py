@@ -136,3 +136,25 @@ def test_sharding_query_is_whole(spark, data):
     want = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", "n_chars")
     mine = got.select(*want.columns)
     assert mine.exceptAll(want).count() == 0 and want.exceptAll(mine).count() == 0
+
+
+def test_results_are_complete_among_copies(spark):
+    rng = np.random.default_rng(3)
+    far = {i: rng.normal(size=8).tolist() for i in range(0, 500, 50)}
+    rows = [(i, far.get(i, [1.0] * 8)) for i in range(4000)]
+    got = annsearch.search(spark, frame(spark, rows)).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in range(0, 4000, 50) for k in range(1, 6)]
+
+
+def test_graph_and_reach_on_many_centroids():
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(100, 32))
+    c = annsearch._unit(z[rng.integers(0, 100, 4096)] + 0.5 * rng.normal(size=(4096, 32)))
+    x = annsearch._unit(z[rng.integers(0, 100, 500)] + 0.5 * rng.normal(size=(500, 32)))
+    graph = annsearch.Centroids(c)
+    order, _ = graph.search(x, 1)
+    assert (order[:, 0] == (x @ c.T).argmax(1)).mean() > 0.97
+    far = np.sqrt(np.maximum(2 - 2 * x @ c.T, 0))
+    rows, lists = graph.reach(x, 0.2)
+    want = {(r, k) for r, k in zip(*np.nonzero(far <= 1.2 * far.min(1, keepdims=True)))}
+    assert want <= set(zip(rows.tolist(), lists.tolist()))
