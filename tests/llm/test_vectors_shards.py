@@ -76,7 +76,7 @@ def test_graph_search_finds_the_nearest_centroids():
 def test_topk_is_exact(spark):
     rows = vectors(900)
     df = frame(spark, [*rows, *[o for o in ODD if o[0] != 5100], rows[0]])
-    got = sorted(tuple(r) for r in topk.search(spark, df, segment=128, group=10, block=16).collect())
+    got = sorted(tuple(r) for r in topk.search(spark, df, list_size=200, segment=128, group=5, block=16).collect())
     want = sorted((q, r, v, int(s)) for q, r, v, s in brute(rows, lambda q, x: np.floor(256 * x) @ np.floor(256 * q)))
     assert got == want
     assert topk.search(spark, frame(spark, ODD[:1])).count() == 0
@@ -91,7 +91,11 @@ def test_topk_is_exact(spark):
 def test_blocks_are_pruned():
     rng = np.random.default_rng(5)
     x = np.floor(256 * (rng.normal(size=(640, 8)) * 0.05 + 3 * rng.normal(size=(10, 8))[rng.integers(0, 10, 640)]))
-    got = topk.block_search(x, np.arange(640), x[:20], np.arange(20), 5, 32)
+    got, scored, every = topk.block_search(x, np.arange(640), x[:20], np.arange(20), 5, 32)
+    assert scored < every / 4
+    least = np.array([np.sort(np.delete(x @ x[q], q))[-5] for q in range(20)])
+    again, fewer, _ = topk.block_search(x, np.arange(640), x[:20], np.arange(20), 5, 32, least)
+    assert fewer <= scored and all((a[1] == b[1]).all() for a, b in zip(got, again))
     for q, (_, ids, s) in enumerate(got):
         scores = x @ x[q]
         scores[q] = -np.inf
