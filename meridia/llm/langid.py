@@ -1,11 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Fitting counts n-grams of 1 to 4 characters per language on a bounded sample of labelled
-rows; the log-probability matrix (at most `max_langs` x 2**bits doubles) is broadcast, and
-texts are scored in numpy, batch by batch, whole.
+rows; the log-probability matrix is broadcast, and texts are scored in numpy, batch by batch, whole. Every label is learned: the
+matrix has 2**bits columns, or as many fewer bits as keep it within `MATRIX_BYTES` where labels are many (over 256).
 
-Defined results: a null or letterless text is ``und`` with score 0; rows with a null label
-teach nothing; repeated rows score alike; extra columns are ignored.
+Defined results: a null or letterless text is ``und`` with score 0, as is every text where there is no label to learn from; rows with
+a null or blank label teach nothing; of equally likely languages the first by name is taken; equal texts, so repeated rows, score
+alike; an empty table gives an empty result; texts of any length are scored whole; extra columns are ignored unless `keep` names them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .store import ship
 from .textnum import char_starts, column_bytes, runs
 
 UND = "und"
+MATRIX_BYTES = 1 << 26
 
 
 def id_remainder(doc_id: str, mod: int) -> Column:
@@ -105,20 +107,19 @@ def fit(
     bits: int = 15,
     orders: tuple[int, ...] = (1, 2, 3, 4),
     max_docs_per_lang: int = 3000,
-    max_langs: int = 256,
     alpha: float = 0.1,
 ) -> LanguageModel:
-    """Learn from at most about `max_docs_per_lang` rows (by hash of the id) of each of the
-    `max_langs` most frequent labels. What reaches the driver is bounded by max_langs * 2**bits."""
+    """Learn from at most about `max_docs_per_lang` rows (by hash of the id) of each label. What reaches the driver is
+    bounded by the matrix."""
     ship(spark)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null and length(trim(l)) > 0")
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
-    langs = tuple(sorted(r["l"] for r in sizes))
-    n = {r["l"]: r["count"] for r in sizes}
+    n = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    langs = tuple(sorted(n))
+    bits = max(1, min(bits, int(np.log2(MATRIX_BYTES / 8 / max(len(langs), 1)))))
     if not langs:
         return LanguageModel((), np.zeros(0), np.zeros((0, (1 << bits) + 1)), bits, orders)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_docs_per_lang / n[k]))])
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(17), F.col("i")), F.lit(1 << 30)) < F.try_element_at(share, F.col("l")) * F.lit(float(1 << 30)))
+    share = spark.createDataFrame([(x, min(1.0, max_docs_per_lang / n[x])) for x in langs], "l string, share double")
+    sample = rows.join(F.broadcast(share), "l").where(F.pmod(F.xxhash64(F.lit(17), F.col("i")), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30)))  # a row per label
     size = (1 << bits) + 1
 
     def count(batches):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import annsearch, langid, neardup, packing, piecebpe, secrets, sharding, substring, topk, toxicity
-from .store import shared_dir
+from .store import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +56,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+#: The documents arrive in so many slices.
+ARRIVALS = 4
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append the documents as small shards, compact, and read the committed version: where each row lies."""
-    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(table(spark, sf_dir, "documents"))
-    version = store.compact()
-    store.vacuum()
+    """Append the documents in arrivals of small shards, compacting after each, and read the committed version: where each row lies."""
+    store = sharding.ShardStore(spark, f"{Scratch(spark, 'shards').root}")
+    docs = table(spark, sf_dir, "documents")
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        version = store.compact()
+        store.vacuum()
     return store.read().select(
         "doc_id", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"), F.lit(version).alias("version"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", "n_chars"
     )

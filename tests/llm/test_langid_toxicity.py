@@ -170,3 +170,53 @@ def test_toxicity_recall_on_the_tables(spark):
     got = [r for r in queries.op4_toxicity(spark, d).select("doc_id", "held_out", "predicted").collect() if r["held_out"] and r["doc_id"] in truth]
     toxic = [r["predicted"] for r in got if truth[r["doc_id"]]]
     assert sum(toxic) >= 0.75 * len(toxic) and sum(r["predicted"] for r in got if not truth[r["doc_id"]]) <= 0.02 * len(got)
+
+
+def plain_features(text, bits=15, orders=(1, 2, 3, 4)):
+    """Hashed n-grams by their definition, one by one."""
+    m = 0xFFFFFFFF
+    cp = [ord(c.lower()) if len(c.lower()) == 1 and ord(c) < 0x3000 else ord(c) for c in text]
+    out = []
+    for i in range(len(cp)):
+        h = 0
+        for k in range(1, max(orders) + 1):
+            if i + k > len(cp):
+                break
+            h = (((h ^ cp[i + k - 1]) * 0x01000193) & m) + (0x9E3779B1 * k & m) & m
+            if k in orders:
+                out.append((((h ^ (h >> 15)) * 0x85EBCA6B) & m) >> (32 - bits))
+    return out
+
+
+def test_predictions_equal_plain_naive_bayes(spark, data):
+    import zlib
+    from collections import Counter
+    from math import exp, log
+
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    counts, n = {}, Counter()
+    for i, t, lang in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and lang is not None and lang.strip():
+            counts.setdefault(lang, Counter()).update(plain_features(t))
+            n[lang] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in queries.op2_language_id(spark, data).collect()}
+    for i, t, _ in docs[:120]:
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        f = plain_features(t)
+        ll = {x: log(n[x] / sum(n.values())) + sum(log(counts[x][y] + 0.1) - log(total[x] + 0.1 * 2**15) for y in f) for x in counts}
+        best = max(sorted(ll), key=ll.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 / sum(exp(max(v - ll[best], -700)) for v in ll.values()), abs=1e-6)
+
+
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(1)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3)] for k in range(400)}
+    rows = [(n * 400 + k, " ".join(rng.choice(words[k], 30)), f"l{k:03}") for n in range(4) for k in range(400)]
+    got = langid.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    truth = {i: x for i, _, x in rows}
+    right = [r["lang_pred"] == truth[r["doc_id"]] for r in got.collect()]
+    assert np.mean(right) > 0.9 and got.select("lang_pred").distinct().count() > 390

@@ -114,10 +114,10 @@ def test_shards(spark):
     for n, p in enumerate(parts, 1):
         assert store.append(p) == n
     small = store.manifest()
-    assert len(small["shards"]) == 12
+    assert len(store.shards(small)) == 12 and len(small["lists"]) == 6
     latest = store.compact()
     merged = store.manifest()
-    assert latest == merged["version"] > 6 and len(merged["shards"]) < 12
+    assert latest == merged["version"] > 6 and len(store.shards(merged)) < 12
     everything = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.sha2(F.col("id").cast("string"), 256)).alias("t"))
     for frame_ in (store.read(), store.read(6)):
         assert frame_.exceptAll(everything).count() == 0 and everything.exceptAll(frame_).count() == 0
@@ -125,7 +125,11 @@ def test_shards(spark):
     with pytest.raises(Exception):
         store._commit(small, [], small["schema"])  # a racing writer that still saw version 6
     assert store.manifest() == merged
+    parts[0].write.parquet(f"{store.root}/data/lost")  # of a writer that never committed
     assert store.vacuum() == 12 and store.versions() == [latest] and store.read().count() == 3000
+    assert store.vacuum() == 0 and store.vacuum(grace=-1) == 2 and store.read().count() == 3000 and store.manifest() == merged
+    with pytest.raises(ValueError, match="kept"):
+        store.vacuum(keep=0)
     with pytest.raises(ValueError, match="schema"):
         store.append(spark.range(1))
     store.append(parts[0].limit(0))
