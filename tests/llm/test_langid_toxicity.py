@@ -215,7 +215,7 @@ def test_predictions_equal_plain_naive_bayes(spark, data):
 def test_every_label_is_learned(spark):
     rng = np.random.default_rng(1)
     words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3)] for k in range(400)}
-    rows = [(n * 400 + k, " ".join(rng.choice(words[k], 30)), f"l{k:03}") for n in range(4) for k in range(400)]
+    rows = [(n * 400 + k, " ".join(rng.choice(words[k], 30)), f"l{k:03}") for n in range(10) for k in range(400)]
     got = langid.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     truth = {i: x for i, _, x in rows}
     right = [r["lang_pred"] == truth[r["doc_id"]] for r in got.collect()]
