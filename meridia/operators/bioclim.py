@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.layout import VARIABLES, unit_name, units_of
 from ..plans.series import MAX_WIDE, Long, Wide, check_policy, n_periods
@@ -142,6 +143,18 @@ def needs(bios: Iterable[int], indices: Iterable[str] = ()) -> set[str]:
     return out
 
 
+def attach_indices(df: DataFrame, layers: dict[str, DataFrame], *, cell: str = "cell", value: str = "value") -> DataFrame:
+    """`df` with static indices (see INDICES) from layers of their own, (cell, value) each, joined by cell; cells that a layer
+    lacks get NULL. A layer that repeats a cell is refused when it is read."""
+    for name, layer in layers.items():
+        if name not in INDICES:
+            raise ValueError(f"unknown static index: {name}")
+        repeated = F.expr(f"int(raise_error(concat('index layer {name} repeats cell ', {cell})))")
+        one = layer.groupBy(cell).agg(F.when(F.count("*") > 1, repeated).otherwise(F.first(F.col(value).cast("int"))).alias(name))
+        df = df.drop(name).join(one, cell, "left")
+    return df
+
+
 def derive(
     df: DataFrame,
     n_units: int = 12,
@@ -190,6 +203,8 @@ def derive(
     moving = sorted({r.var for r in rules.values() if r.kind == "period"} | {v for v, _ in ranked.values()})
     means = sorted({r.var for r in rules.values() if r.kind in ("mean", "sd", "cv")})
     layers: list[dict[str, str]] = []  # each reads the ones before
+    if not wide:  # NaN is missing in arrays, too
+        df = df.withColumns({v: F.expr(f"transform({v}, x -> CASE WHEN NOT isnan(x) THEN x END)") for v in sorted(have & (wanted | {"tmin", "tmax"}))})
     if derived:
         layers.append(spread("tavg", (Wide if wide else Long).middle(series("tmin"), series("tmax"))))
     layers.append({f"mean_{v}": series(v).mean() for v in means})

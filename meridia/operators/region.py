@@ -94,6 +94,12 @@ def mask_cells(df: DataFrame, region: DataFrame, *, cell: str = "cell") -> DataF
     return df.join(region.select(cell).distinct(), cell, "left_semi")
 
 
+def drop_missing(df: DataFrame, reference: str) -> DataFrame:
+    """The cells that have a value in the reference column (a layer)."""
+    c = F.col(reference)
+    return df.where(c.isNotNull() & ~F.isnan(c))
+
+
 def fill_grid(df: DataFrame, grid: GridSpec, *, cell: str = "cell") -> DataFrame:
     """A row for every cell of the grid, NULL where there is no result."""
     return grid.cells(df.sparkSession).withColumnRenamed("cell", cell).join(df, cell, "left")

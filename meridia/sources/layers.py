@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -28,13 +32,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's path below the shared one that spark.checkpoint.dir names; a temporary one only in local mode without it."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="meridia-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/layers-{uuid.uuid4().hex}"
+
+
 def write_layers(df: DataFrame, folder: str, *, overwrite: bool = False, by_layer: bool = False, cell: str = "cell", fmt: str = "parquet", **options) -> list[str]:
-    """Write a result table, or one file set per result column (`by_layer`). Nothing is written if a target exists
-    and `overwrite` is off. Returns the paths."""
-    names = [c for c in df.columns if c != cell]
-    targets = {f"{folder.rstrip('/')}/{n}": df.select(cell, n) for n in names} if by_layer else {folder.rstrip("/"): df}
+    """Write a result table, or one file set per result column (`by_layer`; the result is computed once and
+    then split). Nothing is written if a target exists and `overwrite` is off. Returns the paths."""
+    names, top = [c for c in df.columns if c != cell], folder.rstrip("/")
+    targets = [f"{top}/{n}" for n in names] if by_layer else [top]
     if not overwrite and (there := [t for t in targets if _exists(df.sparkSession, t)]):
         raise FileExistsError(f"Output files already exist: {', '.join(there)}")
-    for path, part in targets.items():
-        part.write.mode("overwrite" if overwrite else "errorifexists").options(**options).format(fmt).save(path)
-    return list(targets)
+    mode = "overwrite" if overwrite else "errorifexists"
+    if not by_layer:
+        df.write.mode(mode).options(**options).format(fmt).save(top)
+        return targets
+    whole = f"{top}/_all-{uuid.uuid4().hex}"
+    df.write.parquet(whole)
+    stored = df.sparkSession.read.schema(df.schema).parquet(whole)
+    for name, path in zip(names, targets):
+        stored.select(cell, name).write.mode(mode).options(**options).format(fmt).save(path)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(whole)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    return targets

@@ -1,12 +1,13 @@
 """Queries over the star-schema tables, each with its SQL.
 
 Cells and units come from facts: C12 is supplier by month of shipping, SER nation by month of
-six years (72 layers), EVT user by hour of the day. Doubles are rounded to six digits on both sides.
+seven years (84 layers), EVT user by hour of the day. Doubles are rounded to six digits on both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ from .functions.names import catalogue
 from .operators import bioclim, region, statistics, temporal, validate
 from .operators.region import GridSpec
 from .plans.layout import VARIABLES, from_cube, to_cube, to_long, to_wide, unit_name
+from .sources import layers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-FIRST_YEAR, LAST_YEAR = 1995, 2000
+#: The years of shipping in the tables.
+FIRST_YEAR, LAST_YEAR = 1995, 2001
 LAYERS = (LAST_YEAR - FIRST_YEAR + 1) * 12
 GRID_COLS = 10
 #: Moves means that end in exactly half a unit of the last digit off the rounding edge, in both engines.
@@ -64,15 +67,14 @@ C12_SQL = f"SELECT l_suppkey AS cell, month(l_shipdate) AS unit, {FACTS_SQL} FRO
 
 def ser(spark: SparkSession, sf_dir: str, variables=VARIABLES) -> DataFrame:
     """LONG: (cell, layer, variables) of nation by month."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate").between(f"{FIRST_YEAR}-01-01 00:00:00", f"{LAST_YEAR}-12-31 23:59:59"))
+    lines = table(spark, sf_dir, "lineitem")
     nations = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cell"))
     layer = ((F.year("l_shipdate") - FIRST_YEAR) * 12 + F.month("l_shipdate")).alias("layer")
     return lines.join(nations, lines["l_suppkey"] == nations["s_suppkey"]).groupBy("cell", layer).agg(*[F.expr(FACTS[v][0].format(FACTS[v][1])).alias(v) for v in variables])
 
 
 SER_SQL = f"""SELECT s_nationkey AS cell, (year(l_shipdate) - {FIRST_YEAR}) * 12 + month(l_shipdate) AS layer, {FACTS_SQL}
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_shipdate BETWEEN TIMESTAMP '{FIRST_YEAR}-01-01 00:00:00' AND TIMESTAMP '{LAST_YEAR}-12-31 23:59:59' GROUP BY 1, 2"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"""
 
 EVT_FACTS = {"total": ("sum({})", "value"), "level": ("avg({})", "value")}
 
@@ -175,13 +177,15 @@ bio_query("static_all", static={n: "(cell % 12 + 1)" for n in bioclim.INDICES})
 
 # ---- cubes with gaps: both policies --------------------------------------------------------------
 
-GAPS_SQL = C12_SQL.replace("GROUP BY", "WHERE (l_suppkey + month(l_shipdate)) % 7 <> 0 AND NOT (l_suppkey % 11 = 0 AND month(l_shipdate) < 11) GROUP BY")
+_GAP = "(cell + unit) % 7 = 0 OR (cell % 11 = 0 AND unit < 11)"
+GAPS_SQL = f"SELECT cell, unit, {', '.join(f'CASE WHEN NOT ({_GAP}) THEN {v} END AS {v}' for v in FACTS)} FROM ({C12_SQL})"
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = F.month("l_shipdate")
-    facts = table(spark, sf_dir, "lineitem").where(((F.col("l_suppkey") + month) % 7 != 0) & ~((F.col("l_suppkey") % 11 == 0) & (month < 11)))
-    return to_wide(facts.select(F.col("l_suppkey").alias("cell"), month.alias("unit"), "l_quantity", "l_extendedprice", "l_discount", "l_tax"), FACTS, 12)
+    """C12 in which some values are missing: of single units, and of most units of some cells."""
+    cube = c12(spark, sf_dir)
+    value = lambda v, i: F.when(~F.expr(_GAP.replace("unit", str(i))), F.col(unit_name(v, i, 12)))
+    return cube.select("cell", *[value(v, i).alias(unit_name(v, i, 12)) for v in VARIABLES for i in range(1, 13)])
 
 
 for _p in ("skip", "strict"):
@@ -296,7 +300,7 @@ def _roll_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.roll_layers(rolled, 5, n_layers=LAYERS))
 
 
-_NAMED = ", ".join(f"max(CASE WHEN start = {s} AND unit = {u} THEN value END) AS \"output_w{s}-{s + 4}_u{u:02d}\"" for s in (1, 2) for u in range(1, 13))
+_NAMED = ", ".join(f"max(CASE WHEN start = {s} AND unit = {u} THEN value END) AS \"output_w{s}-{s + 4}_u{u:02d}\"" for s in range(1, LAYERS // 12 - 3) for u in range(1, 13))
 register("roll_layers", _roll_layers, f"SELECT cell, {_NAMED} FROM ({roll_sql(5, 1, 'mean')}) GROUP BY 1")
 
 
@@ -348,12 +352,13 @@ register(
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = c12(spark, sf_dir, ["prcp"]).where("cell % 3 = 0")
-    return rounded(region.fill_grid(bioclim.derive(some, 12, [12]), grid_of(spark, sf_dir)))
+    grid = grid_of(spark, sf_dir)
+    larger = GridSpec(grid.nrows + 3, GRID_COLS, 0.0, float(GRID_COLS), 0.0, grid.ymax + 3)
+    return rounded(region.fill_grid(bioclim.derive(c12(spark, sf_dir, ["prcp"]), 12, [12]), larger))
 
 
-register("fill_grid", _filled, f"""WITH r AS ({bioclim_sql(C12_SQL, [12])}), g AS (SELECT unnest(range(1, CAST(ceil(max(s_suppkey) / {GRID_COLS}.0) * {GRID_COLS} AS BIGINT) + 1)) AS cell FROM supplier)
-SELECT g.cell, r.bio12 FROM g LEFT JOIN (SELECT * FROM r WHERE cell % 3 = 0) r ON g.cell = r.cell""")
+register("fill_grid", _filled, f"""WITH r AS ({bioclim_sql(C12_SQL, [12])}), g AS (SELECT unnest(range(1, CAST((ceil(max(s_suppkey) / {GRID_COLS}.0) + 3) * {GRID_COLS} AS BIGINT) + 1)) AS cell FROM supplier)
+SELECT g.cell, r.bio12 FROM g LEFT JOIN r ON g.cell = r.cell""")
 
 
 def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +399,7 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.key_differences(to_long(c12(spark, sf_dir, ["prcp"]), ["prcp"], 12), to_long(gaps(spark, sf_dir), ["prcp"], 12).where("prcp IS NOT NULL"))
 
 
-register("check_keys", _keys, f"""WITH {grid_sql(C12_SQL, 12, VARIABLES)} SELECT cell, CAST(unit AS INTEGER) AS unit, 'first' AS only_in FROM grid g WHERE NOT EXISTS (SELECT 1 FROM ({GAPS_SQL}) b WHERE b.cell = g.cell AND b.unit = g.unit)""")
+register("check_keys", _keys, f"""WITH {grid_sql(C12_SQL, 12, VARIABLES)} SELECT cell, CAST(unit AS INTEGER) AS unit, 'first' AS only_in FROM grid g WHERE NOT EXISTS (SELECT 1 FROM ({GAPS_SQL}) b WHERE b.cell = g.cell AND b.unit = g.unit AND b.prcp IS NOT NULL)""")
 
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,6 +410,95 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("layout_round_trip", _round_trip, f"""WITH {grid_sql(C12_SQL, 12, VARIABLES)} SELECT cell, CAST(unit AS INTEGER) AS unit, {', '.join(f'round({v} + {ASIDE}, 6) AS {v}' for v in VARIABLES)} FROM grid""")
 
 
+# ---- derived and attached inputs, long series, sources and sinks ------------------------------------------
+
+
+def _derived_tavg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bioclim.derive(c12(spark, sf_dir, ["tmin", "tmax", "prcp"]), 12, range(1, 20)))
+
+
+register("bioclim_derived_tavg", _derived_tavg, bioclim_sql(f"SELECT cell, unit, prcp, tmin, tmax, (tmin + tmax) / 2 AS tavg, srad, mois FROM ({C12_SQL})", range(1, 20)))
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index layers as tables of their own; some cells have no index."""
+    layer = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") % 14).alias("value"))
+    tables = {"warmest_unit": layer, "coldest_period": layer.where("cell <= 60"), "wettest_period": layer.withColumn("value", F.col("cell") % 12 + 1)}
+    return rounded(bioclim.derive(bioclim.attach_indices(c12(spark, sf_dir), tables), 12, range(1, 20)))
+
+
+register("static_attached", _attached, bioclim_sql(C12_SQL, range(1, 20), static={"warmest_unit": _ODD, "coldest_period": "(CASE WHEN cell <= 60 THEN cell % 14 END)", "wettest_period": "(cell % 12 + 1)"}))
+
+
+def _long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of all layers as arrays; missing values come as NaN."""
+    wide = to_wide(ser(spark, sf_dir).withColumnRenamed("layer", "unit"), list(VARIABLES), LAYERS)
+    cube = to_cube(wide, list(VARIABLES), LAYERS).selectExpr("cell", *[f"transform({v}, x -> coalesce(x, double('NaN'))) AS {v}" for v in VARIABLES])
+    return rounded(bioclim.derive(cube, LAYERS))
+
+
+register("bioclim_long_series", _long_series, bioclim_sql(SER_SQL.replace("AS layer", "AS unit"), n=LAYERS))
+
+
+def _reference_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bioclim.derive(region.drop_missing(gaps(spark, sf_dir), unit_name("prcp", 1, 12)), 12, [1, 12, 16]))
+
+
+register("drop_missing", _reference_layer, f"""SELECT r.* FROM ({bioclim_sql(GAPS_SQL, [1, 12, 16])}) r WHERE r.cell IN (SELECT cell FROM ({GAPS_SQL}) WHERE unit = 1 AND prcp IS NOT NULL)""")
+
+
+def _layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written as one file set per month and read again, a path per unit."""
+    folder = layers.work_folder(spark)
+    to_long(c12(spark, sf_dir, ["prcp"]), ["prcp"], 12).withColumnRenamed("prcp", "value").write.partitionBy("unit").parquet(folder)
+    long = layers.read_layers(spark, [f"{folder}/unit={i}" for i in range(1, 13)], 12)
+    return rounded(bioclim.derive(to_wide(long.withColumnRenamed("value", "prcp"), ["prcp"], 12), 12, [12, 13, 14, 15, 16, 17]))
+
+
+register("read_layers", _layer_files, bioclim_sql(C12_SQL, [12, 13, 14, 15, 16, 17]))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as one file set per variable behind the guard (a second write is refused), and joined again."""
+    folder, bios = layers.work_folder(spark), [12, 15, 17]
+    result = bioclim.derive(c12(spark, sf_dir, ["prcp"]), 12, bios)
+    paths = layers.write_layers(result, folder, by_layer=True)
+    try:
+        layers.write_layers(result, folder, by_layer=True)
+    except FileExistsError:
+        first, *rest = (spark.read.parquet(p) for p in paths)
+        return rounded(reduce(lambda a, b: a.join(b, "cell"), rest, first))
+    raise AssertionError("files were overwritten")
+
+
+register("write_layers", _written, bioclim_sql(C12_SQL, [12, 15, 17]))
+
+
+def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = grid_of(spark, sf_dir)
+    others = {"same": grid, "finer": GridSpec(grid.nrows * 2, grid.ncols, grid.xmin, grid.xmax, grid.ymin, grid.ymax), "moved": GridSpec(grid.nrows, grid.ncols, 1.0, grid.xmax + 1, grid.ymin, grid.ymax, "EPSG:3857")}
+    rows = [(name, p) for name, ps in validate.geometry_report({"reference": grid, **others}).items() for p in ps]
+    return spark.createDataFrame(rows, "input string, differs string")
+
+
+register("check_geometry", _geometry, "SELECT * FROM (VALUES ('finer', 'nrows'), ('moved', 'xmin'), ('moved', 'xmax'), ('moved', 'crs')) AS t(input, differs)")
+
+
+def _refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mask refuses: regions beside the grid, in another reference system, or no polygons at all."""
+    grid, cells, rows = grid_of(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell")), []
+    for name, ring, crs in (("inside", _TRIANGLE, None), ("beside", [(-9.0, -9.0), (-8.0, -9.0), (-8.0, -8.0)], None), ("other", _TRIANGLE, "EPSG:3857"), ("line", _TRIANGLE[:2], None)):
+        try:
+            region.mask_polygon(cells, grid, ring, crs=crs)
+            rows.append((name, None))
+        except (ValueError, TypeError) as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "region string, refused string")
+
+
+register("check_region", _refusals, "SELECT * FROM (VALUES ('inside', NULL), ('beside', 'ValueError'), ('other', 'ValueError'), ('line', 'TypeError')) AS t(region, refused)")
+
+
 # ---- the flagship: climatology, then the 35 variables ------------------------------------------------------
 
 
