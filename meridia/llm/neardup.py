@@ -16,7 +16,8 @@ what is lost is bounded by the chance of sharing no band and by `miss`.
 
 Defined results: null, empty or wordless texts have an empty set and are linked with nothing; fewer
 than `k` words are one shingle; repeated rows share a class; ids are keys (rows that repeat an
-id must repeat its text); extra columns are ignored.
+id must repeat its text); of a component the smallest id is kept; texts and words of any length are handled whole, one document in one
+task; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -90,6 +91,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return (out >> np.uint32(16)).astype(np.uint16)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """int64[document, BANDS]: the four values of a band are 64 bits, mixed with the band's number."""
+    number = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    return mix(np.ascontiguousarray(sig).view(np.uint64) ^ number).view(np.int64)
+
+
 def least_matches(threshold: float, miss: float) -> list[int]:
     """For each number of compared hashes (a multiple of BATCH), the fewest agreeing ones whose posterior
     P(similarity >= threshold), from a uniform prior, is at least `miss`."""
@@ -117,30 +124,34 @@ def _survive(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
 
 
 def features(spark: SparkSession, docs: DataFrame, *, k: int, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), sig."""
+    """doc_id, n_shingles, set_key (null for an empty set), sig, bands."""
     kind = docs.select(F.col(id_col).alias("doc_id")).schema.fields
-    schema = StructType([*kind, *StructType.fromDDL("n_shingles long, set_key binary, sig binary").fields])
+    schema = StructType([*kind, *StructType.fromDDL("n_shingles long, set_key binary, sig binary, bands array<long>").fields])
 
     def run(batches):
         for batch in batches:
             raw, off = column_bytes(batch.column(1))
-            n, keys, sigs = [], [], []
+            n, keys, sigs, bands = [], [], [], [np.zeros((0, BANDS), np.int64)]
             for a, b in runs(off):
                 sets = shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], k)
                 full = [s for s in sets if len(s)]
-                sig = iter(signatures(full)) if full else iter(())
+                every = signatures(full) if full else np.zeros((0, HASHES), np.uint16)
+                bands.append(band_keys(every))
+                sig = iter(every)
                 for s in sets:
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s, digest_size=16).digest() if len(s) else None)
                     sigs.append(next(sig).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=schema.names)
+            o = np.concatenate(([0], np.cumsum([BANDS if x else 0 for x in n]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(o), pa.array(np.concatenate(bands).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), lists], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
-    """(v, l): the smallest id reachable from each vertex of `edges` (a, b), by minimum labels and pointer jumps."""
-    both = scratch.put(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), f"{tag}-edges")
+    """(v, l): the smallest id reachable from each vertex of `edges` (a, b; written), by minimum labels and pointer jumps."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     state = scratch.put(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("l")), f"{tag}-0")
     i = 0
     while True:
@@ -152,7 +163,6 @@ def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
         scratch.drop(f"{tag}-{i - 1}")
         state = jumped.select("v", "l")
         if not jumped.where("moved").limit(1).count():
-            scratch.drop(f"{tag}-edges")
             return state
 
 
@@ -191,15 +201,12 @@ class _Verifier:
 
         return self.scratch.put(texts.mapInArrow(run, schema), tag)
 
-    def confirm(self, pairs: DataFrame, tag: str) -> DataFrame:
+    def confirm(self, pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
         """The linked ones of `pairs` (written)."""
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), f"{tag}-sets")
         both = pairs.join(sets.selectExpr("v as a", "s as x"), "a").join(sets.selectExpr("v as b", "s as y"), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = both.withColumn("c", common).where(100 * F.col("c") >= self.percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b").distinct()
-        out = self.scratch.put(linked, f"{tag}-links")
-        self.scratch.drop(f"{tag}-sets")
-        return out
+        return self.scratch.put(linked, f"{tag}-links")
 
 
 def _cells(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
@@ -234,19 +241,20 @@ def link(spark: SparkSession, docs: DataFrame, *, k: int = 5, percent: int = 75,
     """Per document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
     scratch = Scratch(spark, "neardup")
     feats = scratch.put(features(spark, docs, k=k, text_col=text_col, id_col=id_col), "features")
-    classes = scratch.put(feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    sigs = scratch.put(feats.where("set_key is not null").join(classes.select("rep", F.col("set_key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own"))).groupBy(F.col("rep").alias("v")).agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "signatures")
+    # of a class all rows have the same signature
+    classes = scratch.put(feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    sigs = classes.select(F.col("rep").alias("v"), "sig", "n")
     verifier = _Verifier(scratch, docs, sigs, k, percent, miss, id_col, text_col)
 
     # buckets with at least two classes
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    banded = sigs.select("v", F.explode(band).alias("bk"))
+    banded = classes.select(F.col("rep").alias("v"), F.explode("bands").alias("bk"))
     sizes = scratch.put(banded.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1"), "sizes")  # written, so that a skewed join can be split
     shared = scratch.put(banded.join(sizes, "bk"), "buckets")
-    weight = shared.groupBy("v").agg(F.count("*").alias("p"))
+    weight = scratch.put(shared.groupBy("v").agg(F.count("*").alias("p")), "weight")
+    sets = verifier.sets(weight.select("v"), "sets")  # the texts travel once, those of documents that share a bucket
     hubs = scratch.put(shared.join(weight, "v").groupBy("bk").agg(F.max(F.struct("p", (-F.col("v")).alias("n"))).alias("h")).select("bk", (-F.col("h.n")).alias("hub")), "hubs")
     star = scratch.put(shared.join(hubs, "bk").where("v != hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(), "star")
-    links = [verifier.confirm(scratch.put(verifier.prune(star), "star-left"), "star")]
+    links = [verifier.confirm(verifier.prune(star), sets, "star")]
     comp = components(scratch, links[0], "first")
 
     # what lies across components of a bucket
@@ -255,11 +263,10 @@ def link(spark: SparkSession, docs: DataFrame, *, k: int = 5, percent: int = 75,
     open_ = scratch.put(placed.join(mixed, "bk", "left_semi"), "open")
     few = open_.where(f"c <= {small}")
     across = few.alias("x").join(few.alias("y"), F.expr("x.bk = y.bk and x.v < y.v and x.comp != y.comp")).selectExpr("x.v as a", "y.v as b").distinct().join(star, ["a", "b"], "left_anti")
-    links.append(verifier.confirm(scratch.put(verifier.prune(across), "rest-left"), "rest"))
+    links.append(verifier.confirm(verifier.prune(across), sets, "rest"))
 
     hub_comp = hubs.join(comp, F.col("hub") == F.col("v"), "left").select("bk", F.coalesce("l", "hub").alias("own"))
     many = open_.where(f"c > {small}").join(hub_comp, "bk").withColumn("minor", F.col("comp") != F.col("own"))
-    sets = verifier.sets(many.select("v").distinct(), "cell-sets")
     many = many.join(sigs, "v")
     blocks = lambda who: F.ceil(F.greatest(F.count_if(who) / CELL, F.sum(F.when(who, F.col("n"))) / WEIGHT)).cast("int")
     load = scratch.put(many.groupBy("bk").agg(blocks(F.col("minor")).alias("ni"), blocks(F.lit(True)).alias("nj")), "load")
@@ -270,8 +277,8 @@ def link(spark: SparkSession, docs: DataFrame, *, k: int = 5, percent: int = 75,
     cells = reduce(DataFrame.unionByName, [x.select("bk", "mi", "mj", "v", "comp", "sig", "s", "minor") for x in (minors, members)])
     links.append(scratch.put(_cells(cells, verifier.least, percent).distinct(), "cell-links"))
     comp = components(scratch, reduce(DataFrame.union, links), "last")
-    scratch.drop("signatures", "sizes", "buckets", "mixed", "load", "hubs", "star", "star-left", "open", "rest-left", "cell-sets", "star-links", "rest-links", "cell-links")
+    scratch.drop("sizes", "buckets", "mixed", "load", "hubs", "star", "open", "sets", "weight", "star-links", "rest-links", "cell-links")
 
-    found = feats.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(comp.withColumnRenamed("v", "rep"), "rep", "left")
+    found = feats.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").join(comp.withColumnRenamed("v", "rep"), "rep", "left")
     component = F.coalesce("l", "rep", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -70,6 +70,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+#: Of a file system mounted at all machines (file://): files without checksum files. Without its native library, Hadoop starts a
+#: process for each file and folder there to set its permissions.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Scratch:
     """The written intermediate tables of one query.
 
@@ -83,11 +88,12 @@ class Scratch:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.plain = hadoop_path(spark, self.root)[0].getScheme() == "file"
         Scratch._open.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**(PLAIN_FILES if self.plain else {})).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

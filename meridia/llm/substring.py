@@ -219,10 +219,9 @@ def repeated_windows(scratch: Scratch, docs: DataFrame, *, window: int, m: int,
     strings = packs.groupBy("key").agg(F.first("m").alias("m"), F.max("packed").alias("packed"), weight.alias("c"))
     strings = scratch.put(strings, "strings")
     busy = scratch.put(strings.groupBy("m").agg(F.sum(F.length("packed")).alias("b")).where(f"b > {hot_bytes}").select("m"), "busy")
-    masks = scratch.put(_count_buckets(strings.join(busy, "m", "left_anti"), window).union(_count_split(strings.join(busy, "m", "left_semi"), window)), "masks")
-    scratch.drop("strings", "busy")
+    masks = _count_buckets(strings.join(busy, "m", "left_anti"), window).union(_count_split(strings.join(busy, "m", "left_semi"), window))
     hits = scratch.put(packs.where("not copies").select("doc_id", "h", "s", "key").join(masks, "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "mask")).alias("x")), "hits")
-    scratch.drop("packs", "masks")
+    scratch.drop("packs", "strings", "busy")
     return scan.select("doc_id", "h", "n_words", "words_sha256"), copies.select("words_sha256", "copies"), hits
 
 
@@ -269,7 +268,7 @@ def dedup(spark: SparkSession, docs: DataFrame, *, window: int = 35, m: int = 8,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=schema.names)
 
     changed = texts.join(hits, _same_row(texts, hits)).select(texts["doc_id"], texts["h"], "t", "x").mapInArrow(run, schema)
-    changed = scratch.put(changed, "changed").select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "n_removed", "new_sha256")
+    changed = changed.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "n_removed", "new_sha256")
     out = scan.join(copies, "words_sha256", "left").join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")), "left")
     whole = F.col("copies").isNotNull()
     n_removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
