@@ -67,24 +67,28 @@ def block_search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray
     turn = np.argsort(-bound, axis=1, kind="stable")
     kept_s: list = [np.zeros(0, x.dtype)] * len(q)
     kept_i: list = [np.zeros(0, np.int64)] * len(q)
-    floor = [None] * len(q) if least is None else [None if np.isneginf(y) else y for y in least]
+    need = np.full(len(q), -np.inf).astype(x.dtype) if least is None else least.astype(x.dtype)  # the k-th score so far, or the given one
     open_ = np.arange(len(q))
     scored = 0
     for r in range(len(parts)):
         nxt = turn[open_, r]
-        ok = np.array([(floor[j] is None or bound[j, b] >= floor[j]) and (len(kept_s[j]) < k or bound[j, b] >= kept_s[j][-1]) for j, b in zip(open_, nxt)], bool)
+        ok = (bound[open_, nxt] >= need[open_]).astype(bool)
         open_, nxt = open_[ok], nxt[ok]
         if not len(open_):
             break
-        for b in np.unique(nxt):
-            mine, part = open_[nxt == b], parts[b]
+        by = np.argsort(nxt, kind="stable")
+        cut = np.flatnonzero(np.diff(nxt[by], prepend=-1))
+        for mine, b in zip(np.split(open_[by], cut[1:]), nxt[by][cut]):
+            part = parts[b]
             scored += len(mine)
             s = q[mine] @ x[part].T
-            for row, j in zip(s, mine):
-                other = ids[part] != qids[j]
+            for row, j in zip(*((y[hit] for y in (s, mine)) if (hit := (s.max(1) >= need[mine]).astype(bool)).any() else ((), ()))):
+                other = (ids[part] != qids[j]) & (row >= need[j]).astype(bool)
                 ss, ii = np.concatenate([kept_s[j], row[other]]), np.concatenate([kept_i[j], ids[part][other]])
                 top = np.lexsort((ii, -ss))[:k] if ss.dtype != object else np.array(sorted(range(len(ss)), key=lambda t: (-ss[t], ii[t]))[:k], int)
                 kept_s[j], kept_i[j] = ss[top], ii[top]
+                if len(top) == k and kept_s[j][-1] > need[j]:
+                    need[j] = kept_s[j][-1]
     return [(np.full(len(s), qids[j]), kept_i[j], s) for j, s in enumerate(kept_s)], scored, len(parts) * len(q)
 
 
@@ -102,7 +106,7 @@ def search(
     max_sample: int = 20000,
     segment: int = 4096,
     group: int = 8192,
-    block: int = 32,
+    block: int = 64,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest scores of each row whose id `query_mod` divides."""
     rows = usable(df, id_col, vec_col, nonzero=False)
