@@ -400,8 +400,10 @@ def _distinct(cp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     model = first[inverse]
     same = size == size[model]
-    flat = np.repeat(start[:-1][model], size) + np.minimum(spot.astype(np.int64), np.repeat(np.maximum(size[model] - 1, 0), size))
-    same &= np.add.reduceat((cp[flat] != cp).astype(np.int64), start[:-1]) == 0
+    shift = np.where(same, start[:-1][model] - start[:-1], 0)
+    equal = cp[np.arange(len(cp)) + np.repeat(shift, size)] == cp
+    if not equal.all():
+        same &= np.logical_and.reduceat(equal, start[:-1])
     odd = np.flatnonzero(~same)
     if len(odd):
         inverse = inverse.copy()
