@@ -12,7 +12,6 @@ the smallest id; texts of any length are handled whole; columns beyond those of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm import neardup, packing, secrets, substring, toxicity
-from meridia.llm.store import Scratch, delete, named, plain, shared_dir
+from meridia.llm.store import Scratch, delete, named, plain
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _mine: set[int] = set()
@@ -126,7 +125,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; the last one's result."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = Scratch(spark, "pipeline").root  # what the last stage reads goes when the session ends
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

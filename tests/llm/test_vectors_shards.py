@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,7 +110,7 @@ def test_topk_equals_sql(spark, data, duck):
 
 
 def test_shards(spark):
-    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/store", target=60_000, least=1000)
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", target=60_000, least=1000)
     assert store.versions() == []
     parts = [spark.range(i * 500, i * 500 + 500, 1, 2).select("id", F.when(F.col("id") % 3 > 0, F.sha2(F.col("id").cast("string"), 256)).alias("t")) for i in range(6)]
     for n, p in enumerate(parts, 1):
