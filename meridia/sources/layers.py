@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -33,7 +34,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder's path below the shared one that spark.checkpoint.dir names; a temporary one only in local mode without it."""
+    """A new folder's path below the shared one that spark.checkpoint.dir names, removed at the end; a temporary one only in local mode without it."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not shared:
@@ -42,7 +43,15 @@ def work_folder(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="meridia-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/layers-{uuid.uuid4().hex}"
+    folder = f"{shared.rstrip('/')}/layers-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_layers(df: DataFrame, folder: str, *, overwrite: bool = False, by_layer: bool = False, cell: str = "cell", fmt: str = "parquet", **options) -> list[str]:
@@ -61,6 +70,5 @@ def write_layers(df: DataFrame, folder: str, *, overwrite: bool = False, by_laye
     stored = df.sparkSession.read.schema(df.schema).parquet(whole)
     for name, path in zip(names, targets):
         stored.select(cell, name).write.mode(mode).options(**options).format(fmt).save(path)
-    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(whole)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    _remove(df.sparkSession, whole)
     return targets
