@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from ..plans.layout import unit_name, units_of
-from ..plans.series import MAX_WIDE, Long, Wide, check_policy, n_periods
+from ..plans.series import MAX_WIDE, ROUNDING, Long, Wide, check_policy, n_periods
 from .bioclim import cv, with_exprs
 
 STATS = ("mean", "sum", "max", "min", "stdev", "cv_cli", "max_period", "min_period")
@@ -36,7 +36,8 @@ def derive(
 ) -> DataFrame:
     """`cell` and ``<prefix>_<statistic>`` columns, in the order of STATS and INTER_STATS.
 
-    `indices` maps names of INDICES to columns that choose the unit or period per cell."""
+    `indices` maps names of INDICES to columns that choose the unit or period per cell. Periods of the inter
+    variable that differ by rounding only are ties, which take the first."""
     check_policy(na_policy)
     stats, inter_stats = list(stats or ()), list(inter_stats or ())
     indices = dict(indices or {})
@@ -63,15 +64,31 @@ def derive(
         value = series(v).periods(period_length, circular, period_stat)
         return {unit_name(name, i, n_units): c for i, c in enumerate(value, 1)} if wide else {name: value}
 
+    def array(v: str, n: int = n_units) -> Long:
+        return Long(f"array({', '.join(series(v, n).cols)})" if wide else v, n, na_policy)
+
     ranked = [s for s in inter_stats if static[s] is None]
     first = {"mean_own": series(variable).mean()}
     if {"max_period", "min_period", *INTER_STATS} & {*stats, *inter_stats}:
         first |= moving(variable, "period_own")
+    layers = [first, {}, {"sd_own": series(variable).sd("mean_own", ddof)}]
     if ranked:
         first |= moving(inter_variable, "period_inter")
-    second = {f"end_{s}": getattr(series("period_inter", k), s[:3])() for s in ranked}
-    third = {f"at_{s}": series("period_inter", k).first_at(f"end_{s}") for s in ranked} | {"sd_own": series(variable).sd("mean_own", ddof)}
-    for layer in (first, second, third):
+        periods, low, high = series("period_inter", k), Long("low_inter", k, na_policy), Long("high_inter", k, na_policy)
+        widest = f"2 * {ROUNDING} * least({period_length} * {series(inter_variable).size()}, 1e300D)"
+        layers[1] = {f"end_{s}": getattr(periods, s[:3])() for s in ranked} | {"widest_inter": widest}
+        sides = {"max_inter": (">=", "-", low, high), "min_inter": ("<=", "+", high, low)}
+        for s in ranked:
+            how, off, _, _ = sides[s]
+            layers[2] |= {f"exact_{s}": periods.first_at(f"end_{s}"), f"near_{s}": periods.first_at(f"(end_{s} {off} widest_inter)", how)}
+        # Few cells have an earlier period within the widest margin; these alone are looked at with the margin of each period.
+        unsure = " OR ".join(f"near_{s} < exact_{s}" for s in ranked)
+        values, margins = array("period_inter", k), Long("margin_inter", k, na_policy)
+        layers.append({margins.col: f"CASE WHEN {unsure} THEN {array(inter_variable).margins(period_length, circular, period_stat)} END"})
+        layers.append({low.col: values.minus(margins).col, high.col: values.plus(margins).col})
+        layers.append({f"bound_{s}": getattr(sides[s][2], s[:3])() for s in ranked})
+        layers.append({f"at_{s}": f"coalesce({sides[s][3].first_at(f'bound_{s}', sides[s][0])}, exact_{s})" for s in ranked})
+    for layer in layers:
         df = with_exprs(df, layer)
 
     def value(s: str) -> str:

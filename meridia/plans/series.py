@@ -10,6 +10,9 @@ Units, periods and indices count from 1.
 from __future__ import annotations
 
 MAX_WIDE = 60
+#: Two sums count as equal if they are closer than this share of the magnitudes added up: sums of decimal
+#: numbers differ in their last bits with the order of the terms. Magnitudes beyond 1e300 count as 1e300.
+ROUNDING = "1e-14D"
 
 
 def check_policy(policy: str) -> None:
@@ -75,9 +78,9 @@ class Wide:
         """The value at a unit, NULL outside."""
         return f"CASE {index} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(self.cols, 1)) + " END"
 
-    def first_at(self, value: str) -> str:
-        """The lowest unit that holds `value`."""
-        return "CASE " + " ".join(f"WHEN {c} = {value} THEN {i}" for i, c in enumerate(self.cols, 1)) + " END"
+    def first_at(self, value: str, how: str = "=") -> str:
+        """The lowest unit that holds `value`, or compares with it as `how` says."""
+        return "CASE " + " ".join(f"WHEN {c} {how} {value} THEN {i}" for i, c in enumerate(self.cols, 1)) + " END"
 
     def periods(self, length: int, circular: bool, stat: str) -> list[str]:
         """Sums or means (sums over the full length) of the periods, by their first unit."""
@@ -85,6 +88,10 @@ class Wide:
         total = [Wide([self.cols[(i + j) % n] for j in range(length)], self.policy).sum() for i in range(n_periods(n, length, circular))]
         return [f"({t}) / {length}" if stat == "mean" else t for t in total]
 
+    def size(self) -> str:
+        """The largest magnitude."""
+        return Wide([f"abs({c})" for c in self.cols]).max()
+
     def minus(self, other: "Wide") -> "Wide":
         return Wide([f"({a} - {b})" for a, b in zip(self.cols, other.cols)], self.policy)
 
@@ -130,8 +137,8 @@ class Long:
     def at(self, index: str) -> str:
         return f"get({self.col}, int({index}) - 1)"
 
-    def first_at(self, value: str) -> str:
-        return f"int(nullif(array_position({self.col}, {value}), 0))"
+    def first_at(self, value: str, how: str = "=") -> str:
+        return f"int(nullif(array_position(transform({self.col}, v -> v {how} {value}), true), 0))"
 
     def periods(self, length: int, circular: bool, stat: str) -> str:
         k = n_periods(self.n, length, circular)
@@ -139,9 +146,20 @@ class Long:
         total = Long(f"slice({ring}, i, {length})", length, self.policy).sum()
         return f"transform(sequence(1, {k}), i -> ({total}){f' / {length}' if stat == 'mean' else ''})"
 
+    def size(self) -> str:
+        return f"array_max(transform({self.col}, v -> abs(v)))"
+
+    def margins(self, length: int, circular: bool, stat: str) -> str:
+        """What rounding may have added to or taken from each period."""
+        sizes = Long(f"transform({self.col}, v -> abs(v))", self.n, self.policy).periods(length, circular, stat)
+        return f"transform({sizes}, s -> {ROUNDING} * least(s, 1e300D))"
+
     def minus(self, other: "Long") -> "Long":
         return Long(f"zip_with({self.col}, {other.col}, (a, b) -> a - b)", self.n, self.policy)
 
+    def plus(self, other: "Long") -> "Long":
+        return Long(f"zip_with({self.col}, {other.col}, (a, b) -> a + b)", self.n, self.policy)
+
     @staticmethod
     def middle(a: "Long", b: "Long") -> str:
         return f"zip_with({a.col}, {b.col}, (x, y) -> (x + y) / 2)"

@@ -134,3 +134,33 @@ def test_plan_is_one_shuffle(spark, data):
     assert plan.count("Exchange") == 1
     narrow = bioclim.derive(c12(spark, data, ["prcp"]), bios=[12])._jdf.queryExecution().executedPlan().toString()
     assert "l_quantity" in narrow and "l_extendedprice" not in narrow
+
+
+@pytest.mark.parametrize("arrays", [False, True])
+def test_ties_up_to_rounding_take_the_first_period(spark, monkeypatch, arrays):
+    """0.3 + 0.2 + 0.1 is less than 0.2 + 0.1 + 0.3 in doubles; large magnitudes elsewhere must not make ties."""
+    tie, inf = [0.3, 0.2, 0.1, 0.3, 0.0, 0.0, 0.0, 0.0], float("inf")
+    inter = [tie, [-x for x in tie], [1e15, 5.01, 5.0, 5.0, 5.0, 5.0, 5.02, 5.0], [1.0, 1.0, 1.0, -inf, 1.0, 1.0, 1.0, 1.0], [None, 2.0, None, None, 1e-9, 0.0, None, 1.0]]
+    df = spark.createDataFrame([(i, [float(u) for u in range(1, 9)], x) for i, x in enumerate(inter, 1)], "cell long, own array<double>, rank array<double>")
+    if arrays:
+        monkeypatch.setattr(statistics, "MAX_WIDE", 0)
+    else:
+        df = from_cube(df, ["own", "rank"], 8)
+
+    def of(policy):
+        got = statistics.derive(df, "own", 8, None, inter_variable="rank", inter_stats=statistics.INTER_STATS, circular=False, na_policy=policy)
+        return [tuple(r)[1:] for r in got.orderBy("cell").collect()]
+
+    assert of("skip") == [(2, 6), (6, 2), (2, 4), (2, 3), (2, 4)]
+    assert of("strict") == [(2, 6), (6, 2), (2, 4), (2, 3), (None, None)]
+
+
+def test_ties_of_event_totals(spark, tmp_path):
+    from meridia.workloads import QUERIES
+
+    rows = [(0, 0.1), (0, 0.2), (1, 0.2), (2, 0.1), (3, 0.0), (4, 0.3)]  # 0.6 in the hours 0 to 3 and in the hours 1 to 4
+    for turn in (1, -1):
+        made = spark.createDataFrame(rows[::turn], "h int, value double").selectExpr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, h) AS ts", "7L AS user_id", "value")
+        made.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        row = QUERIES["stat_events_skip"](spark, str(tmp_path)).first()
+        assert row["level_inter_high"] == pytest.approx(0.1125, abs=1e-9)
